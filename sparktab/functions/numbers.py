@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def unit_scale(x: Column, low: float, high: float) -> Column:
@@ -107,7 +108,7 @@ def correlation_p(r: float, n: int) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pearson_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """One value per feature, so a handful of rows."""
     p = [correlation_p(a, b) for a, b in zip(r, n)]

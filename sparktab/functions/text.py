@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Letters folded to one spelling, then Arabic-Indic and Persian digits to ASCII.
 LETTERS_FROM = "يىئكۀةؤ‌‍"
@@ -19,7 +20,7 @@ DIGITS_TO = "01234567890123456789"
 _FOLD = str.maketrans(LETTERS_FROM + DIGITS_FROM, LETTERS_TO + DIGITS_TO, LETTERS_DROPPED)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_unicode(values: pd.Series) -> pd.Series:
     def fold(s):
         return None if s is None else unicodedata.normalize("NFKC", s.strip()).translate(_FOLD).casefold()
@@ -88,7 +89,7 @@ def name_similarity(a: str, b: str) -> float:
     return 0.65 * ratio + 0.35 * token
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def string_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Full similarity of two normalised name columns (Arrow batches)."""
     return pd.Series([name_similarity(a or "", b or "") for a, b in zip(left, right)])
