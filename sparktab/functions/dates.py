@@ -102,4 +102,5 @@ def calendar_parts(ts: Column, prefix: str) -> list[Column]:
 
 
 def days_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86_400_000_000.0)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return (micros(later) - micros(earlier)) / F.lit(86_400_000_000.0)

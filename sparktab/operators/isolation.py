@@ -83,10 +83,10 @@ class IsolationForest:
 
         return score(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]))
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Add ``score`` and ``flag``."""
-        scored = df.withColumn("score", self.score_column())
-        return scored.withColumn("flag", (F.col("score") > F.lit(self.threshold)).cast("int"))
+    def score(self, df: DataFrame, names: tuple[str, str, str] = ("score", "flag", "cluster")) -> DataFrame:
+        """Add a score and a flag."""
+        scored = df.withColumn(names[0], self.score_column())
+        return scored.withColumn(names[1], (F.col(names[0]) > F.lit(self.threshold)).cast("int"))
 
 
 def _tree_samples(df: DataFrame, cols, row_id: str, n_trees: int, rows_per_tree: int, seed) -> DataFrame:

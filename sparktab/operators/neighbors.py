@@ -25,6 +25,9 @@ BLOCK_ROWS = 1_024
 MAX_CELLS = 2_048
 MAX_PATTERNS = 256
 HOT_COPIES = 100_000
+DIRECT_ROWS = 20_000
+DIRECT_CELLS = 2_000_000
+DIRECT_CHUNK = 128
 MAX_HOT_VECTORS = 5_000
 PIVOT_SAMPLE = 20_000
 
@@ -151,6 +154,19 @@ def squared_distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
         return np.where(shared > 0, total * (q.shape[1] / shared), np.inf)
 
 
+def _nearest(q: np.ndarray, d: np.ndarray, d_keys: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+    """The k nearest donors of each query by (distance, id); donors without a shared coordinate do not count."""
+    dist = squared_distances(q, d)
+    top = min(k, dist.shape[1])
+    edge = np.partition(dist, top - 1, axis=1)[:, top - 1] if top else np.zeros(len(q))
+    out = []
+    for i in range(len(q)):
+        near = np.flatnonzero((dist[i] <= edge[i]) & np.isfinite(dist[i]))
+        order = near[np.lexsort((d_keys[near], dist[i, near]))][:top]
+        out.append([(float(dist[i, j]), int(d_keys[j])) for j in order])
+    return out
+
+
 def _block_candidates(k: int):
     def run(batches):
         for pdf in batches:
@@ -158,22 +174,29 @@ def _block_candidates(k: int):
                 d_keys = np.array([r["key"] for r in d_rows])
                 d_vec = np.array([r["vec"] for r in d_rows], dtype=float)
                 q_vec = np.array([r["vec"] for r in q_rows], dtype=float)
-                order = np.argsort(d_keys, kind="stable")
-                d_keys, d_vec = d_keys[order], d_vec[order]
-                keys, found = [], []
-                dist = squared_distances(q_vec, d_vec)
-                top = min(k, dist.shape[1])
-                best = np.argsort(dist, axis=1, kind="stable")[:, :top]
-                for i, row in enumerate(q_rows):
-                    keys.append(row["key"])
-                    found.append([
-                        (float(dist[i, j]), int(d_keys[j])) for j in best[i] if np.isfinite(dist[i, j])
-                    ])
-                yield pd.DataFrame({"key": keys, "found": found})
+                yield pd.DataFrame({"key": [r["key"] for r in q_rows], "found": _nearest(q_vec, d_vec, d_keys, k)})
 
     return run
 
 
+def _direct_candidates(queries: DataFrame, donors: DataFrame, k: int) -> DataFrame:
+    """``(id, key, found)`` against donors of checked size, sent to every task once."""
+    sc = queries.sparkSession.sparkContext
+    rows = donors.collect()
+    held = sc.broadcast((np.array([r["vec"] for r in rows], dtype=float), np.array([r["key"] for r in rows], dtype=np.int64)))
+
+    def run(batches):
+        d_vec, d_keys = held.value
+        for pdf in batches:
+            for start in range(0, len(pdf), DIRECT_CHUNK):
+                part = pdf.iloc[start:start + DIRECT_CHUNK]
+                found = _nearest(np.vstack(part["vec"].to_numpy()), d_vec, d_keys, k) if len(d_keys) else [[] for _ in range(len(part))]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "found": found})
+
+    spread = queries.repartition(sc.defaultParallelism, "id")
+    return spread.mapInPandas(run, "id long, found array<struct<d2: double, id: long>>")
+
+
 def _candidates(queries: DataFrame, donors: DataFrame, dim: int, k: int, block_rows: int, seed) -> DataFrame:
     """``(key, found)`` with the k nearest donors of every query; both sides are (key, vec)."""
     spark = queries.sparkSession
@@ -227,26 +250,25 @@ def knn_join(
     donor_id: str = "row_id",
     exclude_self: bool = True,
     block_rows: int = BLOCK_ROWS,
+    direct_rows: int = DIRECT_ROWS,
     seed=42,
 ) -> DataFrame:
     """``(query_id, rank, neighbor_id, distance)``: the k nearest donors of every query, ties by id.
 
     Distances are Euclidean over ``cols``; a missing coordinate is skipped and
-    the rest is scaled up.  ``exclude_self`` drops the donor with the query's id.
+    the rest is scaled up.  ``exclude_self`` drops the donor with the query's
+    id.  Donors up to ``direct_rows`` (counted first) are broadcast; beyond
+    that the join runs cell by cell.
     """
     cols = list(cols)
     want = k + 1 if exclude_self else k
     donor_points = donors.select(F.col(donor_id).cast("long").alias("key"), _vector(cols).alias("vec"))
-    # Among equal rows only the first ``want`` ids can be chosen.
-    w = W.partitionBy("vec").orderBy("key")
-    kept = donor_points.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= want).drop("_n")
     query_points = queries.select(F.col(query_id).cast("long").alias("id"), _vector(cols).alias("vec"))
-    # One query per distinct vector, named by its smallest id.
-    unique = query_points.groupBy("vec").agg(F.min("id").alias("key"), F.count(F.lit(1)).alias("copies"))
-    near = _candidates(unique.select("key", "vec"), kept, len(cols), want, block_rows, seed)
-    solo = unique.where("copies = 1").select(F.col("key").alias("id"), "key")
-    shared = unique.where("copies > 1").select("key", F.col("vec").alias("_vec"))
-    answered = solo.unionByName(_expand_copies(query_points, unique, shared)).join(near, "key")
+    few = min(direct_rows, DIRECT_CELLS // max(len(cols), 1))
+    if few and donors.limit(few + 1).count() <= few:
+        answered = _direct_candidates(query_points, donor_points, want)
+    else:
+        answered = _answer_by_cells(query_points, donor_points, len(cols), want, block_rows, seed)
     mine = F.filter("found", lambda s: s["id"] != F.col("id")) if exclude_self else F.col("found")
     ranked = answered.select("id", F.posexplode(F.slice(mine, 1, k)).alias("pos", "s"))
     return ranked.select(
@@ -257,6 +279,18 @@ def knn_join(
     )
 
 
+def _answer_by_cells(query_points: DataFrame, donor_points: DataFrame, dim: int, want: int, block_rows: int, seed) -> DataFrame:
+    # Among equal rows only the first ``want`` ids can be chosen.
+    w = W.partitionBy("vec").orderBy("key")
+    kept = donor_points.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= want).drop("_n")
+    # One query per distinct vector, named by its smallest id.
+    unique = query_points.groupBy("vec").agg(F.min("id").alias("key"), F.count(F.lit(1)).alias("copies"))
+    near = _candidates(unique.select("key", "vec"), kept, dim, want, block_rows, seed)
+    solo = unique.where("copies = 1").select(F.col("key").alias("id"), "key")
+    shared = unique.where("copies > 1").select("key", F.col("vec").alias("_vec"))
+    return solo.unionByName(_expand_copies(query_points, unique, shared)).join(near, "key").select("id", "found")
+
+
 def cosine_top_k(
     queries: DataFrame,
     index: DataFrame,
@@ -267,6 +301,7 @@ def cosine_top_k(
     k: int = 5,
     exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """``(query_id, rank, neighbor_id, score)``: highest cosine of unit vectors, by the same join.
 
@@ -282,5 +317,5 @@ def cosine_top_k(
         )
 
     cols = [f"x{i}" for i in range(dim)]
-    near = knn_join(unit(queries, query_id), unit(index, index_id), cols, k, exclude_self=exclude_self, block_rows=block_rows)
+    near = knn_join(unit(queries, query_id), unit(index, index_id), cols, k, exclude_self=exclude_self, block_rows=block_rows, direct_rows=direct_rows)
     return near.withColumn("score", 1 - F.col("distance") * F.col("distance") / 2).drop("distance")

@@ -46,8 +46,9 @@ class Clusters:
             cluster: (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int"),
         }).drop("_gaps")
 
-    def score(self, df: DataFrame) -> DataFrame:
-        return self.assign(df).withColumn("flag", (F.col("score") > F.lit(self.threshold)).cast("int"))
+    def score(self, df: DataFrame, names: tuple[str, str, str] = ("score", "flag", "cluster")) -> DataFrame:
+        score, flag, cluster = names
+        return self.assign(df, score, cluster).withColumn(flag, (F.col(score) > F.lit(self.threshold)).cast("int"))
 
     def calibrate(self, df: DataFrame, contamination: float) -> "Clusters":
         """Distance threshold and cluster medians from the training rows."""
@@ -153,15 +154,17 @@ class OutlierTamer:
 
     @staticmethod
     def _bounds(scored):
-        row = scored.agg(F.min("score"), F.max("score")).first()
+        row = scored.agg(F.min("_t_score"), F.max("_t_score")).first()
         return row[0], row[1]
 
-    def _score(self, filled: DataFrame) -> DataFrame:
-        st = self.state
+    def _score(self, filled: DataFrame, names: tuple[str, str, str] = ("_t_score", "_t_flag", "_t_cluster")) -> DataFrame:
+        clash = set(names) & set(filled.columns)
+        if clash:
+            raise ValueError(f"columns would be overwritten: {sorted(clash)}")
         if self.detector == "statistical":
             worst = F.greatest(*[F.abs(d) for d in self.deviations().values()], F.lit(0.0))
-            return filled.withColumn("score", worst).withColumn("flag", (F.col("score") > self.z_threshold).cast("int"))
-        return st.detector.score(filled)
+            return filled.withColumn(names[0], worst).withColumn(names[1], (F.col(names[0]) > self.z_threshold).cast("int"))
+        return self.state.detector.score(filled, names)
 
     def deviations(self) -> dict[str, Column]:
         """Robust z-score per column, for filled rows."""
@@ -169,7 +172,7 @@ class OutlierTamer:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Filled rows with ``score``, ``flag`` and, for the cluster detector, ``cluster``."""
-        return self._score(self._fill(df, self.state.cols, self.state.medians))
+        return self._score(self._fill(df, self.state.cols, self.state.medians), ("score", "flag", "cluster"))
 
     def explain(self, df: DataFrame, top_k: int = 3) -> DataFrame:
         return dominant_features(self.score(df).where("flag = 1"), self.deviations(), self.row_id, top_k)
@@ -208,5 +211,5 @@ class OutlierTamer:
             raise ValueError("shrink needs fit-time bounds on a stream: pass batch_bounds=False")
         low, high = self._bounds(scored) if batch_bounds else st.score_bounds
         lam = min(max(self.shrinkage_lambda, 0.0), 1.0)
-        pull = F.lit(lam) * unit_scale(F.col("score"), low, high)
+        pull = F.lit(lam) * unit_scale(F.col("_t_score"), low, high)
         return scored.withColumns({c: x[c] - pull * (x[c] - F.lit(st.medians[c])) for c in st.cols}).select(*df.columns)

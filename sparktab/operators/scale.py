@@ -54,17 +54,12 @@ def fit_robust(df: DataFrame, cols: Sequence[str]) -> LinearScale:
     return LinearScale(center, scale)
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    """The power transform for a known exponent."""
-    if abs(lam) < 1e-12:
-        positive = F.log1p(F.greatest(x, F.lit(0.0)))
-    else:
-        positive = (F.pow(F.greatest(x, F.lit(0.0)) + 1, F.lit(float(lam))) - 1) / F.lit(float(lam))
-    if abs(lam - 2.0) < 1e-12:
-        negative = -F.log1p(F.greatest(-x, F.lit(0.0)))
-    else:
-        negative = -(F.pow(F.greatest(-x, F.lit(0.0)) + 1, F.lit(2.0 - lam)) - 1) / F.lit(2.0 - lam)
-    return F.when(x >= 0, positive).when(x < 0, negative)
+def yeo_johnson(x: Column, lam: float | Column) -> Column:
+    """The power transform; the exponent is a number or a column."""
+    lam = lam if isinstance(lam, Column) else F.lit(float(lam))
+    up, down = F.log1p(F.greatest(x, F.lit(0.0))), F.log1p(F.greatest(-x, F.lit(0.0)))
+    power = lambda logged, e: F.when(F.abs(e) < 1e-12, logged).otherwise((F.exp(e * logged) - 1) / F.nullif(e, F.lit(0.0)))
+    return F.when(x >= 0, power(up, lam)).when(x < 0, -power(down, 2 - lam))
 
 
 @dataclass
@@ -84,19 +79,24 @@ class PowerScale:
 
 
 def power_loglik(df: DataFrame, grid: dict[str, Sequence[float]]) -> dict[tuple[str, float], float]:
-    """Log-likelihood of every (column, exponent) in one pass over the table."""
-    keys = [(c, float(l)) for c, ls in grid.items() for l in ls]
-    cols = list(grid)
-    row = df.agg(
-        *[F.var_pop(yeo_johnson(clean_numeric(F.col(c)), l)).alias(f"v{i}") for i, (c, l) in enumerate(keys)],
-        *[F.sum(F.signum(clean_numeric(F.col(c))) * F.log1p(F.abs(clean_numeric(F.col(c))))).alias(f"s_{c}") for c in cols],
-        *[F.count(clean_numeric(F.col(c))).alias(f"n_{c}") for c in cols],
-    ).first()
-    out = {}
-    for i, (c, l) in enumerate(keys):
-        v, n = row[f"v{i}"], row[f"n_{c}"]
-        ok = v is not None and v > 1e-300 and math.isfinite(v)
-        out[(c, l)] = -n / 2.0 * math.log(v) + (l - 1.0) * row[f"s_{c}"] if ok else float("-inf")
+    """Log-likelihood of every (column, exponent) in one pass over the table.
+
+    Each cell meets its column's exponents and is added up before any shuffle,
+    so only one row per (column, exponent) leaves a task.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("c"), clean_numeric(F.col(c)).alias("x"), F.array(*[F.lit(float(l)) for l in ls]).alias("ls"))
+        for c, ls in grid.items()
+    ])
+    long = df.select(F.explode(cells).alias("e")).select("e.*").where("x is not null").select("c", "x", F.explode("ls").alias("lam"))
+    rows = long.groupBy("c", "lam").agg(
+        F.var_pop(yeo_johnson(F.col("x"), F.col("lam"))).alias("v"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s"),
+    ).collect()
+    out = {(c, float(l)): float("-inf") for c, ls in grid.items() for l in ls}
+    for r in rows:
+        if r["v"] is not None and r["v"] > 1e-300 and math.isfinite(r["v"]):
+            out[(r["c"], r["lam"])] = -r["n"] / 2.0 * math.log(r["v"]) + (r["lam"] - 1.0) * r["s"]
     return out
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.dates import parse_gregorian, calendar_type, parse_jalali
 from ..functions.text import sanitize_column, sanitize_name
+from .ordered import global_rank
 
 
 def clean_names(names: Sequence[str], target: str | None = None, mode: str = "full") -> list[str]:
@@ -39,10 +40,10 @@ def sanitize_catalog(
     df = df.withColumn("clean_name", base)
     if mode == "simple":
         return df
-    w = W.partitionBy(*by, "clean_name").orderBy(position)
-    repeat = F.row_number().over(w) - 1
+    ranked = global_rank(df, position, "_repeat", by=[*by, "clean_name"])
+    repeat = F.col("_repeat") - 1
     numbered = F.when(repeat > 0, F.concat_ws("_", "clean_name", repeat.cast("string"))).otherwise(F.col("clean_name"))
-    return df.withColumn("clean_name", numbered)
+    return ranked.withColumn("clean_name", numbered).drop("_repeat")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

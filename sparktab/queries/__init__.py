@@ -1 +1,4 @@
+"""Checked queries over the given tables, one module per operator family."""
 
+from . import q_metrics, q_neighbors, q_prepare, q_schema, q_stats  # noqa: F401
+from .bases import ORACLES, QUERIES  # noqa: F401
