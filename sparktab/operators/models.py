@@ -116,8 +116,7 @@ def fit_model(df: DataFrame, features: Sequence[str], label: str, family: str, p
             minInstancesPerNode=cfg["min_samples_leaf"], featureSubsetStrategy=str(cfg["max_features"]), seed=seed, **_outputs("_w"),
         )
     elif family == "mlp":
-        outs = {k: v for k, v in _outputs().items()}
-        est = MultilayerPerceptronClassifier(layers=[len(features), *cfg["hidden"], max(n_classes, 2)], maxIter=cfg["max_iter"], seed=seed, **outs)
+        est = MultilayerPerceptronClassifier(layers=[len(features), *cfg["hidden"], max(n_classes, 2)], maxIter=cfg["max_iter"], seed=seed, **_outputs())
     else:
         if n_classes > 2:
             raise ValueError(f"{family} handles two classes, got {n_classes}")
@@ -135,7 +134,8 @@ def fit_model(df: DataFrame, features: Sequence[str], label: str, family: str, p
                     "featureSubsetStrategy": str(float(cfg["colsample_bytree"])), "minInstancesPerNode": int(cfg["min_child_samples"])}
         else:
             tree = {"maxIter": cfg["iterations"], "stepSize": cfg["learning_rate"], "maxDepth": cfg["depth"]}
-        est = GBTClassifier(seed=seed, cacheNodeIds=True, **tree, **{k: v for k, v in _outputs("_w").items()})
+        est = GBTClassifier(seed=seed, featuresCol="_x", labelCol="_y", predictionCol="_pred", weightCol="_w", **tree)
+        est = est.setProbabilityCol("_p").setRawPredictionCol("_raw")
     train = data.select("_x", "_y", "_w").persist()
     try:
         model = est.fit(train)

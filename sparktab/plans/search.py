@@ -137,6 +137,24 @@ def candidate_table(values: DataFrame) -> DataFrame:
     return wide.withColumn("candidate", F.concat_ws("-", "family", F.lpad(F.col("i").cast("string"), 4, "0"))).drop("i")
 
 
+def option_label(option: Column) -> Column:
+    """Readable text of an option such as ``knn:5``; a missing option reads ``None``."""
+    name, number = F.split(option, ":")[0], F.get(F.split(option, ":"), F.lit(1))
+    key = F.when(name == "knn", "n_neighbors").when(name.contains("smote"), "k_neighbors").otherwise("k")
+    return F.when(option.isNull(), "None").when(number.isNull(), name).otherwise(F.concat(name, F.lit("("), key, F.lit("="), number, F.lit(")")))
+
+
+def family_of(name: Column) -> Column:
+    """Family tag of a classifier name."""
+    # Name parts and the tags they stand for.
+    parts = {"XGBoost": "xgb", "LightGBM": "lgbm", "RandomForest": "rf", "CatBoost": "catboost", "LogisticRegression": "lr",
+             "Calibrated": "stacker", "Stacking": "stacker"}
+    out = F.lower(name)
+    for part, tag in reversed(parts.items()):
+        out = F.when(name.contains(part), tag).otherwise(out)
+    return F.coalesce(out, F.lit("unknown"))
+
+
 def to_config(row: Mapping) -> ChainConfig:
     """Chain configuration of one candidate row."""
     whole = {"max_depth", "n_estimators", "min_child_weight", "num_leaves", "min_child_samples", "min_samples_leaf", "iterations", "depth"}

@@ -356,7 +356,8 @@ def stability_scores(df: DataFrame, features: Sequence[str], label: str, row_id:
 def stability_table(scores: DataFrame) -> DataFrame:
     """Means and deviations over folds, and a score that rewards a high, steady and calibrated candidate."""
     by = ["candidate", "repeat", "fold"]
-    folds = operating_points(scores, by)
+    # Scores come out of many fitted chains; they are computed once.
+    folds = operating_points(scores.persist(), by)
     values = {"pr_auc": "pr", "roc_auc": "roc", "brier": "brier", "f1_threshold": "f1_threshold", "recall_at_spec": "recall_at_spec"}
     aggs = [f(c).alias(f"{n}_{s}") for c, n in values.items() for s, f in (("mean", F.avg), ("std", F.stddev_pop))]
     out = folds.groupBy("candidate").agg(*aggs)

@@ -338,20 +338,32 @@ def _spw(spark, sf):
 
 
 @query("h3_candidate_counts", with_(SPW) + """
-SELECT family, n, dims, in_range FROM (VALUES ('xgb', 60, 17, true), ('lgbm', 60, 17, true), ('rf', 20, 12, true), ('catboost', 20, 12, true), ('lr', 20, 10, true), ('stacker', 20, 11, true))
-  AS t(family, n, dims, in_range), sw WHERE base > 0""")
+, n AS (SELECT count(*) AS n FROM customer), o AS (SELECT * FROM (VALUES ('lgbm', 0.3, 17), ('rf', 0.1, 12), ('catboost', 0.1, 12), ('lr', 0.1, 10), ('stacker', 0.1, 11)) AS t(family, q, dims)),
+c AS (SELECT family, round_even(q::DOUBLE * n, 0)::BIGINT AS n, dims FROM o, n)
+SELECT family, n, dims::BIGINT AS dims, base > 0 AS in_range FROM (SELECT * FROM c UNION ALL SELECT 'xgb', (SELECT any_value(n.n) FROM n) - (SELECT sum(n) FROM c)::BIGINT, 17), sw""")
 def h3(spark, sf):
-    base = _spw(spark, sf)
-    values = search.candidate_values(spark, base, 200)
+    """As many candidates as there are customers."""
+    base, total = _spw(spark, sf), table(spark, sf, "customer").count()
+    values = search.candidate_values(spark, base, total)
     bounds = search.dimension_table(spark, base).select("family", "name", "lo", "hi")
     inside = F.coalesce(F.col("number").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9), F.lit(True))
     return values.join(bounds, ["family", "name"]).groupBy("family").agg(
-        F.count_distinct("i").cast("int").alias("n"), F.count_distinct("name").cast("int").alias("dims"), F.every(inside).alias("in_range"))
+        F.count_distinct("i").alias("n"), F.count_distinct("name").alias("dims"), F.every(inside).alias("in_range"))
 
 
 @query("h4_diversity")
 def h4(spark, sf):
     from ..operators.stats import normalized_entropy
 
-    wide = search.candidate_table(search.candidate_values(spark, _spw(spark, sf), 200))
+    total = table(spark, sf, "customer").count()
+    wide = search.candidate_table(search.candidate_values(spark, _spw(spark, sf), total))
     return normalized_entropy(wide, ["family", "imputer", "normalizer", "tamer__detector", "tamer__remediation", "selector", "balancer"])
+
+
+@query("f14_config_labels", """
+SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'knn(n_neighbors=5)' WHEN 1 THEN 'kbest(k=20)' WHEN 2 THEN 'smote(k_neighbors=3)' ELSE 'None' END AS label,
+  CASE event_id % 3 WHEN 0 THEN 'xgb' WHEN 1 THEN 'stacker' ELSE 'plain' END AS family FROM events""")
+def f14(spark, sf):
+    option = F.get(F.array(F.lit("knn:5"), F.lit("kbest:20"), F.lit("smote:3"), F.lit(None)), (F.col("user_id") % 4).cast("int"))
+    name = F.get(F.array(F.lit("XGBoostEstimator"), F.lit("CalibratedStack"), F.lit("Plain")), (F.col("event_id") % 3).cast("int"))
+    return table(spark, sf, "events").select("event_id", search.option_label(option).alias("label"), search.family_of(name).alias("family"))
