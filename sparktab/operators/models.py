@@ -100,7 +100,7 @@ def fit_model(df: DataFrame, features: Sequence[str], label: str, family: str, p
     classes = sorted(counts)
     n, n_classes = sum(counts.values()), len(classes)
     data = assemble(df, features, "_x").withColumn("_y", F.col(label).cast("double"))
-    data = with_balanced_weight(data, "_y", "_w")
+    data = with_balanced_weight(data, "_y", "_w", counts)
     extra: dict = {}
 
     if family == "lr":

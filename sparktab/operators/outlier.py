@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import clip, unit_scale
 from .isolation import IsolationForest, fit_isolation_forest
-from .quantiles import clean_numeric, group_quantiles, medians, quantiles
-from .schema import columns_with_many_values, numeric_columns
-from .stats import mad_scales
+from .quantiles import clean_numeric, group_quantiles, quantiles
+from .schema import count_and_choose, numeric_columns
+from .stats import safe_mad
 
 DETECTORS = ("iforest", "cluster", "statistical")
 REMEDIATIONS = ("winsorize", "percentile_clip", "mad_replace", "cluster_local_median", "shrink", "none")
@@ -125,15 +125,19 @@ class OutlierTamer:
 
     def fit(self, df: DataFrame, cols: Sequence[str] | None = None) -> "OutlierTamer":
         cols = [c for c in (cols or numeric_columns(df)) if c != self.row_id]
-        cols = columns_with_many_values(df, cols, MIN_DISTINCT)
+        cols, counts, rows = count_and_choose(df, cols, MIN_DISTINCT)
         if not cols:
             self.state = TamerState([], {}, {}, {}, {})
             return self
-        meds = medians(df, cols)
+        meds = {c: v[0] for c, v in quantiles(df, {c: (F.col(c), [0.5]) for c in cols}, counts=counts).items()}
         filled = self._fill(df, cols, meds)
-        edges = quantiles(filled, {c: (F.col(c), [self.lower_quantile, self.upper_quantile]) for c in cols})
+        # Edges and deviations need the medians only, so one pass finds both.
+        edges = {f"q:{c}": (F.col(c), [self.lower_quantile, self.upper_quantile]) for c in cols}
+        spread = {f"m:{c}": (F.abs(F.col(c) - F.lit(meds[c])), [0.5]) for c in cols}
+        found = quantiles(filled, {**edges, **spread}, counts=dict.fromkeys([*edges, *spread], rows))
         self.state = TamerState(
-            cols, meds, mad_scales(filled, meds), {c: edges[c][0] for c in cols}, {c: edges[c][1] for c in cols}
+            cols, meds, {c: safe_mad(found[f"m:{c}"][0]) for c in cols},
+            {c: found[f"q:{c}"][0] for c in cols}, {c: found[f"q:{c}"][1] for c in cols},
         )
         if self.detector == "cluster":
             self.state.detector = fit_clusters(filled, cols, self.n_clusters, self.contamination, self.seed)

@@ -45,15 +45,20 @@ def quantiles(
     df: DataFrame,
     requests: Mapping[str, tuple[Column, Sequence[float]]],
     max_values: int = MAX_BUFFERED_VALUES,
+    counts: Mapping[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles of several expressions; ``requests`` maps a name to (expression, probabilities)."""
+    """Exact quantiles of several expressions; ``requests`` maps a name to (expression, probabilities).
+
+    ``counts`` gives the number of values per name where the caller has already counted them.
+    """
     if not requests:
         return {}
     names = list(requests)
     exprs = {n: clean_numeric(requests[n][0]) for n in names}
     probs = {n: [float(p) for p in requests[n][1]] for n in names}
-    counted = df.agg(*[F.count(exprs[n]).alias(f"c{i}") for i, n in enumerate(names)]).first()
-    counts = {n: counted[f"c{i}"] for i, n in enumerate(names)}
+    if counts is None:
+        counted = df.agg(*[F.count(exprs[n]).alias(f"c{i}") for i, n in enumerate(names)]).first()
+        counts = {n: counted[f"c{i}"] for i, n in enumerate(names)}
 
     small = [n for n in names if counts[n] <= max_values]
     result: dict[str, list[float | None]] = {}

@@ -61,18 +61,26 @@ def categorical_columns(df: DataFrame) -> list[str]:
 
 
 def columns_with_many_values(df: DataFrame, cols: Sequence[str], more_than: int = 10) -> list[str]:
-    """Columns holding more than ``more_than`` distinct non-null values.
+    """Columns holding more than ``more_than`` distinct non-null values."""
+    return count_and_choose(df, cols, more_than)[0]
 
-    ``collect_set`` would grow with the data; a top-k over distinct values is
-    not needed either: a sketch settles clear cases and only columns near the
-    limit are counted exactly.
+
+def count_and_choose(df: DataFrame, cols: Sequence[str], more_than: int = 10) -> tuple[list[str], dict[str, int], int]:
+    """(columns with many values, non-null count per column, rows) from one pass.
+
+    A sketch settles the clear cases; only columns near the limit are counted exactly.
     """
+    cols = list(cols)
     if not cols:
-        return []
-    row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cols]).first()
-    near = [c for c in cols if more_than / 2 <= row[c] <= more_than * 2]
+        return [], {}, 0
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(c, 0.02).alias(f"d_{c}") for c in cols],
+        *[F.count(F.when(~F.isnan(F.col(c).cast("double")), 1)).alias(f"n_{c}") for c in cols],
+    ).first()
+    near = [c for c in cols if more_than / 2 <= row[f"d_{c}"] <= more_than * 2]
     exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first() if near else {}
-    return [c for c in cols if (exact[c] if c in near else row[c]) > more_than]
+    wide = [c for c in cols if (exact[c] if c in near else row[f"d_{c}"]) > more_than]
+    return wide, {c: row[f"n_{c}"] for c in cols}, row["rows"]
 
 
 def missing_shares(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

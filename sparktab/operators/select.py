@@ -86,9 +86,11 @@ def select_recursively(df: DataFrame, cols: Sequence[str], label: str, n_feature
     """Drop the column with the smallest weight, refit, repeat; the assembled table is cached once."""
     cols = list(cols)
     keep = list(range(len(cols)))
-    data = with_balanced_weight(assemble(df, cols, "all"), label).select(F.col(label).cast("double").alias("label"), "weight", "all").persist()
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    n = sum(counts.values())
+    weighted = with_balanced_weight(assemble(df, cols, "all"), label, "weight", counts)
+    data = weighted.select(F.col(label).cast("double").alias("label"), "weight", "all").persist()
     try:
-        n = data.count()
         while len(keep) > min(n_features, len(cols)):
             sliced = VectorSlicer(inputCol="all", outputCol="features", indices=keep).transform(data)
             model = LogisticRegression(weightCol="weight", regParam=1.0 / max(n, 1), maxIter=1000, standardization=False).fit(sliced)

@@ -50,10 +50,12 @@ def positive_weight_base(df: DataFrame, label: str) -> float:
     return float(row[0] or 0) / max(float(row[1] or 0), 1.0)
 
 
-def with_balanced_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Weight column from class counts, as literals (the number of classes is small and counted first)."""
-    rows = class_weights(df, label).collect()
+def with_balanced_weight(df: DataFrame, label: str, name: str = "weight", counts: dict | None = None) -> DataFrame:
+    """Weight column ``n / (k * n_class)`` as literals; the few classes are counted once, here or by the caller."""
+    if counts is None:
+        counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    total = sum(counts.values())
     weight = F.lit(None).cast("double")
-    for row in rows:
-        weight = F.when(F.col(label) == F.lit(row[label]), F.lit(row["weight"])).otherwise(weight)
+    for value, n in counts.items():
+        weight = F.when(F.col(label) == F.lit(value), F.lit(total / (len(counts) * n))).otherwise(weight)
     return df.withColumn(name, weight)

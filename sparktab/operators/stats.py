@@ -30,12 +30,15 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     return {c: row[c] for c in cols}
 
 
+def safe_mad(raw: float | None) -> float:
+    return raw * MAD_TO_SIGMA if raw else 1.0
+
+
 def mad_scales(df: DataFrame, medians: Mapping[str, float], max_values: int = MAX_BUFFERED_VALUES) -> dict[str, float]:
     """Scaled median absolute deviation per column; zero becomes one."""
     known = {c: m for c, m in medians.items() if m is not None}
     found = quantiles(df, {c: (F.abs(clean_numeric(F.col(c)) - F.lit(m)), [0.5]) for c, m in known.items()}, max_values)
-    scaled = {c: (found[c][0] or 0.0) * MAD_TO_SIGMA for c in known}
-    return {c: s if s != 0.0 else 1.0 for c, s in scaled.items()}
+    return {c: safe_mad(found[c][0]) for c in known}
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
