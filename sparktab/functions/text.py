@@ -72,21 +72,36 @@ def token_similarity(left: Column, right: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), 0.65 * jaccard + 0.35 * contained)
 
 
+def name_matcher(b: str):
+    """Function scoring a normalised name against ``b``: 1 equal, 0.985 equal without blanks, else characters and tokens.
+
+    The index of ``b`` is built once and serves every name.
+    """
+    compact, right = b.replace(" ", ""), set(b.split())
+    matcher = SequenceMatcher(None)
+    matcher.set_seq2(b)
+
+    def score(a: str) -> float:
+        if not a or not b:
+            return 0.0
+        if a == b:
+            return 1.0
+        if a.replace(" ", "") == compact:
+            return 0.985
+        matcher.set_seq1(a)
+        ratio = matcher.ratio()
+        left = set(a.split())
+        if not left or not right:
+            return ratio
+        shared = len(left & right)
+        token = 0.65 * shared / len(left | right) + 0.35 * shared / min(len(left), len(right))
+        return 0.65 * ratio + 0.35 * token
+
+    return score
+
+
 def name_similarity(a: str, b: str) -> float:
-    """Similarity of two normalised names: 1 equal, 0.985 equal without blanks, else characters and tokens."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    if a.replace(" ", "") == b.replace(" ", ""):
-        return 0.985
-    ratio = SequenceMatcher(None, a, b).ratio()
-    left, right = set(a.split()), set(b.split())
-    if not left or not right:
-        return ratio
-    shared = len(left & right)
-    token = 0.65 * shared / len(left | right) + 0.35 * shared / min(len(left), len(right))
-    return 0.65 * ratio + 0.35 * token
+    return name_matcher(b)(a)
 
 
 @F.pandas_udf(DoubleType())

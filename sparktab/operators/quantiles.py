@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import running_totals
 
-MAX_BUFFERED_VALUES = 2_000_000
+MAX_BUFFERED_VALUES = 200_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -77,47 +77,42 @@ def quantiles(
     return {n: result[n] for n in names}
 
 
+def _inside(exprs, b: _Bracket) -> Column:
+    x = exprs[b.name]
+    keep = F.lit(True)
+    if math.isfinite(b.low):
+        keep = keep & (x >= F.lit(b.low))
+    if math.isfinite(b.high):
+        keep = keep & (x <= F.lit(b.high))
+    return F.when(keep, x)
+
+
 def _bracketed(df, exprs, probs, counts, names, max_values):
-    extremes = df.agg(
-        *[F.min(exprs[n]).alias(f"lo{i}") for i, n in enumerate(names)],
-        *[F.max(exprs[n]).alias(f"hi{i}") for i, n in enumerate(names)],
-    ).first()
     brackets = []
-    for i, n in enumerate(names):
+    for n in names:
         for p in probs[n]:
             position = p * (counts[n] - 1)
             lower = min(int(math.floor(position)), max(counts[n] - 2, 0))
-            brackets.append(
-                _Bracket(n, p, lower, position - lower, extremes[f"lo{i}"], extremes[f"hi{i}"], 0, counts[n])
-            )
-
-    def inside(b: _Bracket) -> Column:
-        x = exprs[b.name]
-        return F.when((x >= F.lit(b.low)) & (x <= F.lit(b.high)), x)
+            brackets.append(_Bracket(n, p, lower, position - lower, -math.inf, math.inf, 0, counts[n]))
 
     while True:
         open_ = [b for b in brackets if b.inside > max_values and b.low < b.high]
         if not open_:
             break
-        _narrow(df, exprs, open_, inside)
+        _narrow(df, exprs, open_)
 
-    finished: dict[str, list[float]] = {n: [] for n in names}
     pending = [b for b in brackets if b.low < b.high]
     values = {}
     if pending:
-        row = df.agg(
-            *[
-                F.percentile(
-                    inside(b),
-                    F.array(
-                        F.lit(_within(b.lower_rank - b.below, b.inside)),
-                        F.lit(_within(b.lower_rank + 1 - b.below, b.inside)),
-                    ),
-                ).alias(f"v{i}")
-                for i, b in enumerate(pending)
-            ]
-        ).first()
+        row = df.agg(*[
+            F.percentile(
+                _inside(exprs, b),
+                F.array(F.lit(_within(b.lower_rank - b.below, b.inside)), F.lit(_within(b.lower_rank + 1 - b.below, b.inside))),
+            ).alias(f"v{i}")
+            for i, b in enumerate(pending)
+        ]).first()
         values = {id(b): row[f"v{i}"] for i, b in enumerate(pending)}
+    finished: dict[str, list[float]] = {n: [] for n in names}
     for b in brackets:
         first, second = values.get(id(b), (b.low, b.low))
         finished[b.name].append(first + (second - first) * b.fraction)
@@ -128,51 +123,38 @@ def _within(rank: int, size: int) -> float:
     return min(max(rank, 0), size - 1) / max(size - 1, 1)
 
 
-def _narrow(df, exprs, brackets, inside):
-    """Shrink each bracket to sketch values around its ranks, then recount so the ranks stay inside."""
+def _narrow(df, exprs, brackets):
+    """Shrink each bracket to sketch values around its ranks; one counting pass proves that the ranks stay inside."""
     slack = 4.0 / SKETCH_ACCURACY
-    sketched = df.agg(
-        *[
-            F.percentile_approx(
-                inside(b),
-                [
-                    max(0.0, _within(b.lower_rank - b.below, b.inside) - slack),
-                    _within(b.lower_rank - b.below, b.inside),
-                    min(1.0, _within(b.lower_rank + 1 - b.below, b.inside) + slack),
-                ],
-                SKETCH_ACCURACY,
-            ).alias(f"s{i}")
-            for i, b in enumerate(brackets)
-        ]
+    # Brackets that still cover the same values of a column share one sketch.
+    shared: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        shared.setdefault((b.name, b.low, b.high), []).append(b)
+
+    def edges(b: _Bracket) -> list[float]:
+        first, second = _within(b.lower_rank - b.below, b.inside), _within(b.lower_rank + 1 - b.below, b.inside)
+        return [max(0.0, first - slack), min(1.0, second + slack)]
+
+    groups = list(shared.values())
+    row = df.agg(*[
+        F.percentile_approx(_inside(exprs, g[0]), [p for b in g for p in edges(b)], SKETCH_ACCURACY).alias(f"s{j}")
+        for j, g in enumerate(groups)
+    ]).first()
+    sketched = [(b, row[f"s{j}"][2 * k], row[f"s{j}"][2 * k + 1]) for j, g in enumerate(groups) for k, b in enumerate(g)]
+    counted = df.agg(
+        *[F.count(F.when(exprs[b.name] < F.lit(low), 1)).alias(f"lt{i}") for i, (b, low, _) in enumerate(sketched)],
+        *[F.count(F.when(exprs[b.name] <= F.lit(high), 1)).alias(f"le{i}") for i, (b, _, high) in enumerate(sketched)],
     ).first()
-    # Candidate cut points per bracket: old edges and the three sketch values.
-    aggs, cuts = [], []
-    for i, b in enumerate(brackets):
-        points = sorted({b.low, *sketched[f"s{i}"], b.high})
-        cuts.append(points)
-        x = exprs[b.name]
-        for j, point in enumerate(points):
-            aggs.append(F.count(F.when(x < F.lit(point), 1)).alias(f"lt{i}_{j}"))
-            aggs.append(F.count(F.when(x <= F.lit(point), 1)).alias(f"le{i}_{j}"))
-    counted = df.agg(*aggs).first()
-    for i, b in enumerate(brackets):
-        points = cuts[i]
-        low = max(
-            (p for j, p in enumerate(points) if counted[f"lt{i}_{j}"] <= b.lower_rank), default=b.low
-        )
-        high = min(
-            (p for j, p in enumerate(points) if counted[f"le{i}_{j}"] >= b.lower_rank + 2), default=b.high
-        )
-        # The last rank has no successor: close the bracket at the first point that covers it.
-        if b.fraction == 0.0:
-            high = min(
-                (p for j, p in enumerate(points) if counted[f"le{i}_{j}"] >= b.lower_rank + 1), default=b.high
-            )
-        j_low, j_high = points.index(low), points.index(high)
-        b.low, b.high = low, high
-        b.below = counted[f"lt{i}_{j_low}"]
-        shrunk = counted[f"le{i}_{j_high}"] - b.below
-        if shrunk == b.inside:
+    for i, (b, low, high) in enumerate(sketched):
+        below, upto = b.below, b.below + b.inside
+        last_rank = b.lower_rank + (1 if b.fraction else 0)
+        if counted[f"lt{i}"] <= b.lower_rank:
+            b.low, below = low, counted[f"lt{i}"]
+        if counted[f"le{i}"] > last_rank:
+            b.high, upto = high, counted[f"le{i}"]
+        shrunk = upto - below
+        b.below = below
+        if shrunk >= b.inside and b.low < b.high:
             _split_between_values(df, exprs, b)
         else:
             b.inside = shrunk
@@ -180,12 +162,13 @@ def _narrow(df, exprs, brackets, inside):
 
 def _split_between_values(df, exprs, b: _Bracket):
     """The sketch made no headway: halve the value range, snapping the edges to existing values."""
-    x = exprs[b.name]
+    x = _inside(exprs, b)
+    if not (math.isfinite(b.low) and math.isfinite(b.high)):
+        b.low, b.high = df.agg(F.min(x), F.max(x)).first()
     middle = b.low + (b.high - b.low) / 2.0
     row = df.agg(
-        F.count(F.when((x >= F.lit(b.low)) & (x <= F.lit(middle)), 1)).alias("left"),
-        F.max(F.when((x >= F.lit(b.low)) & (x <= F.lit(middle)), x)).alias("left_max"),
-        F.min(F.when((x > F.lit(middle)) & (x <= F.lit(b.high)), x)).alias("right_min"),
+        F.count(F.when(x <= F.lit(middle), 1)).alias("left"), F.max(F.when(x <= F.lit(middle), x)).alias("left_max"),
+        F.min(F.when(x > F.lit(middle), x)).alias("right_min"),
     ).first()
     first, second = b.lower_rank - b.below, b.lower_rank + (1 if b.fraction else 0) - b.below
     if second < row["left"]:
@@ -194,8 +177,7 @@ def _split_between_values(df, exprs, b: _Bracket):
         b.low, b.below, b.inside = row["right_min"], b.below + row["left"], b.inside - row["left"]
     else:
         # The two ranks straddle the gap, so both order statistics are known.
-        value = row["left_max"] + (row["right_min"] - row["left_max"]) * b.fraction
-        b.low = b.high = value
+        b.low = b.high = row["left_max"] + (row["right_min"] - row["left_max"]) * b.fraction
         b.inside = 1
 
 
