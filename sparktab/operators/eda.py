@@ -29,7 +29,8 @@ def histograms(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
     def cell(c):
         lo, hi = spans[c]
         x = clean_numeric(F.col(c))
-        place = F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
+        # ``least`` skips nulls, so a missing value must be kept out first.
+        place = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1))).cast("int")
         return F.struct(F.lit(c).alias("column"), place.alias("bin"), F.lit(lo).alias("lo"), F.lit((hi - lo) / bins).alias("w"))
 
     cells = df.select(F.explode(F.array(*[cell(c) for c in spans])).alias("e")).select("e.*").where("bin is not null")
