@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.dates import calendar_parts, days_between, parse_gregorian, parse_jalali
 from .ordered import TARGET_ROWS, global_rank
@@ -65,22 +65,22 @@ def encode_categories(
 
 
 def label_codes(df: DataFrame, target: str) -> DataFrame:
-    """Table ``(value, code)``: sorted distinct target values numbered from 0."""
+    """Table ``(value, code)``: sorted distinct target values numbered from 0, one row per class."""
     distinct = df.select(F.col(target).alias("value")).where(F.col("value").isNotNull()).distinct()
     if dict(distinct.dtypes)["value"] == "string":
-        # Distinct labels are few; ordering them needs no buckets.
-        from pyspark.sql import Window as W
-
-        return distinct.select("value", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("value")) - 1).cast("int").alias("code"))
+        rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("value"))
+        return distinct.select("value", (rank - 1).cast("int").alias("code"))
     return global_rank(distinct, "value", "_r").select("value", (F.col("_r") - 1).cast("int").alias("code"))
 
 
-def encode_label(df: DataFrame, codes: DataFrame, target: str, name: str = "label") -> DataFrame:
-    """Attach label codes; the code table holds one row per class."""
-    pairs = [(r["value"], r["code"]) for r in codes.collect()]
+def encode_label(df: DataFrame, codes: DataFrame, target: str, name: str = "label", literal_rows: int = LITERAL_MAP_ROWS) -> DataFrame:
+    """Attach label codes: literals while the classes are few (counted first), a join beyond that."""
+    if codes.limit(literal_rows + 1).count() > literal_rows:
+        table = codes.select(F.col("value").alias("_value"), F.col("code").cast("double").alias(name))
+        return df.join(table, F.col(target) == F.col("_value"), "left").drop("_value")
     code = F.lit(None).cast("int")
-    for value, number in pairs:
-        code = F.when(F.col(target) == F.lit(value), F.lit(number)).otherwise(code)
+    for r in codes.collect():
+        code = F.when(F.col(target) == F.lit(r["value"]), F.lit(r["code"])).otherwise(code)
     return df.withColumn(name, code.cast("double"))
 
 

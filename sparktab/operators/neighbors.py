@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.numbers import dot, l2_normalize
 from .quantiles import clean_numeric
 
 BLOCK_ROWS = 1_024
@@ -261,14 +262,19 @@ def knn_join(
     that the join runs cell by cell.
     """
     cols = list(cols)
-    want = k + 1 if exclude_self else k
     donor_points = donors.select(F.col(donor_id).cast("long").alias("key"), _vector(cols).alias("vec"))
     query_points = queries.select(F.col(query_id).cast("long").alias("id"), _vector(cols).alias("vec"))
-    few = min(direct_rows, DIRECT_CELLS // max(len(cols), 1))
-    if few and donors.limit(few + 1).count() <= few:
+    return _join_points(query_points, donor_points, len(cols), k, exclude_self, block_rows, direct_rows, seed)
+
+
+def _join_points(query_points, donor_points, dim: int, k: int, exclude_self: bool, block_rows: int, direct_rows: int, seed) -> DataFrame:
+    """The join on ready vectors: (id, vec) against (key, vec)."""
+    want = k + 1 if exclude_self else k
+    few = min(direct_rows, DIRECT_CELLS // max(dim, 1))
+    if few and donor_points.limit(few + 1).count() <= few:
         answered = _direct_candidates(query_points, donor_points, want)
     else:
-        answered = _answer_by_cells(query_points, donor_points, len(cols), want, block_rows, seed)
+        answered = _answer_by_cells(query_points, donor_points, dim, want, block_rows, seed)
     mine = F.filter("found", lambda s: s["id"] != F.col("id")) if exclude_self else F.col("found")
     ranked = answered.select("id", F.posexplode(F.slice(mine, 1, k)).alias("pos", "s"))
     return ranked.select(
@@ -308,14 +314,9 @@ def cosine_top_k(
     On unit vectors cosine = 1 - distance^2 / 2, so the nearest rows are the most similar ones.
     A query whose vector is all zeros has no match.
     """
-    from ..functions.numbers import dot, l2_normalize
-
-    def unit(df, key):
-        v = l2_normalize(F.col(vector))
-        return df.where(dot(F.col(vector), F.col(vector)) > 0).select(
-            F.col(key).cast("long").alias("row_id"), *[F.get(v, F.lit(i)).alias(f"x{i}") for i in range(dim)]
-        )
+    def unit(df, key, name):
+        nonzero = df.where(dot(F.col(vector), F.col(vector)) > 0)
+        return nonzero.select(F.col(key).cast("long").alias(name), l2_normalize(F.col(vector)).alias("vec"))
 
-    cols = [f"x{i}" for i in range(dim)]
-    near = knn_join(unit(queries, query_id), unit(index, index_id), cols, k, exclude_self=exclude_self, block_rows=block_rows, direct_rows=direct_rows)
+    near = _join_points(unit(queries, query_id, "id"), unit(index, index_id, "key"), dim, k, exclude_self, block_rows, direct_rows, 42)
     return near.withColumn("score", 1 - F.col("distance") * F.col("distance") / 2).drop("distance")
