@@ -36,11 +36,11 @@ def encode_categories(
     if unseen not in ("null", "keep"):
         raise ValueError(f"unknown rule for unseen categories: {unseen!r}")
     cols = [c for c in cols if c in df.columns]
-    sizes = {r["column"]: r["count"] for r in mapping.where(F.col("column").isin(list(cols))).groupBy("column").count().collect()}
-    small = [c for c in cols if sizes.get(c, 0) <= literal_rows]
-    codes: dict[str, dict[str, int]] = {c: {} for c in small}
-    for r in mapping.where(F.col("column").isin(small)).collect():
+    # Codes are dense from 0, so this reads at most ``literal_rows + 1`` rows per column and tells small maps from large ones.
+    codes: dict[str, dict[str, int]] = {c: {} for c in cols}
+    for r in mapping.where(F.col("column").isin(list(cols)) & (F.col("code") <= literal_rows)).collect():
         codes[r["column"]][r["category"]] = r["code"]
+    small = [c for c in cols if len(codes[c]) <= literal_rows]
 
     def settle(code, c):
         value = code.cast("double")
@@ -90,11 +90,13 @@ def expand_dates(df: DataFrame, calendars: Mapping[str, str], reference: str | N
     ``calendars`` maps a column to ``gregorian``, ``jalali`` or ``timestamp`` (already parsed).
     """
     readers = {"gregorian": parse_gregorian, "jalali": parse_jalali, "timestamp": lambda c: c.cast("timestamp")}
-    stamps = {c: readers[kind](F.col(c)) for c, kind in calendars.items()}
-    added = [p for c, ts in stamps.items() for p in calendar_parts(ts, c)]
+    # Parse once, then take the parts of the parsed column.
+    names = {c: f"_ts_{i}" for i, c in enumerate(calendars)}
+    parsed = df.withColumns({names[c]: readers[kind](F.col(c)) for c, kind in calendars.items()}) if calendars else df
+    added = [p for c in calendars for p in calendar_parts(F.col(names[c]), c)]
     if reference:
-        added += [days_between(stamps[reference], ts).alias(f"{c}_time_diff") for c, ts in stamps.items()]
-    return df.select(*[F.col(c) for c in df.columns if c not in stamps], *added)
+        added += [days_between(F.col(names[reference]), F.col(names[c])).alias(f"{c}_time_diff") for c in calendars]
+    return parsed.select(*[F.col(c) for c in df.columns if c not in calendars], *added)
 
 
 def to_numeric(df: DataFrame, target: str, row_id: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
