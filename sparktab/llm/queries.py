@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import windows
+from . import ngram_trie, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return windows.removal(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op1_lm_scoring")
+def lm_scoring(spark, sf_dir):
+    return ngram_trie.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
