@@ -6,6 +6,7 @@ Hashes are polynomial sums over the bytes modulo 2^64, mixed at the end; two of
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +67,14 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def kept_in_worker(key, make):
+    """One value for each key and Python process, so that a reused worker reads a vocabulary file once. Meant for a few keys."""
+    kept = sys.__dict__.setdefault("_sparktab_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def byte_table(marks: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(marks)] = True
