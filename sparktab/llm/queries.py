@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ngram_trie, windows
+from ..session import scratch_path
+from . import byte_bpe, ngram_trie, token_files, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +37,19 @@ def substring_dedup(spark, sf_dir):
 @query("op1_lm_scoring")
 def lm_scoring(spark, sf_dir):
     return ngram_trie.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_bpe_encoding")
+def bpe_encoding(spark, sf_dir):
+    coded = byte_bpe.coded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op8_token_files")
+def token_id_files(spark, sf_dir):
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_files.read_checked(spark, path)
