@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, ngram_trie, token_files, windows
+from . import byte_bpe, minhash_forest, ngram_trie, token_files, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def token_id_files(spark, sf_dir):
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
     return token_files.read_checked(spark, path)
+
+
+@query("op10_jaccard_join")
+def jaccard_join(spark, sf_dir):
+    return minhash_forest.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
