@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, line_rules, minhash_forest, ngram_trie, token_files, windows
+from . import byte_bpe, licence_rules, line_rules, minhash_forest, ngram_trie, token_files, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def quality_rules(spark, sf_dir):
     return line_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left"
     )
+
+
+@query("op5_license_scan")
+def license_scan(spark, sf_dir):
+    return licence_rules.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
