@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, licence_rules, line_rules, minhash_forest, ngram_trie, token_files, windows
+from . import byte_bpe, chat_events, html_cut, licence_rules, line_rules, minhash_forest, ngram_trie, token_files, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,18 @@ def quality_rules(spark, sf_dir):
 @query("op5_license_scan")
 def license_scan(spark, sf_dir):
     return licence_rules.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
+
+
+@query("op6_chat_formatting")
+def chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    events = rows.unionAll(probe).withColumns({"seq": F.lit(0), "kind": F.lit("message")})
+    path = scratch_path(spark, "chats")
+    chat_events.formatted(events).write.parquet(path)
+    return chat_events.read_back(spark.read.parquet(path))
+
+
+@query("op7_html_extraction")
+def html_extraction(spark, sf_dir):
+    return html_cut.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
