@@ -90,14 +90,19 @@ class EliasFano:
             return place, value
         last = int(self.get(np.array([self.n - 1]))[0])
         todo = np.flatnonzero(x <= last)
-        high = x[todo] >> self.low_bits
-        # the numbers with this high part begin after as many zeros
-        at = np.zeros(len(todo), np.int64)
+        high, low = x[todo] >> self.low_bits, x[todo] & ((1 << self.low_bits) - 1)
+        # numbers with one high part stand between two zeros; their low bits are searched by halving
+        begin = np.zeros(len(todo), np.int64)
         some = high > 0
-        at[some] = self._place(high[some] - 1, self.zeros, True) + 1 - high[some]
-        while len(todo):
-            found = self.get(at)
-            done = found >= x[todo]
-            place[todo[done]], value[todo[done]] = at[done], found[done]
-            todo, at = todo[~done], at[~done] + 1
+        begin[some] = self._place(high[some] - 1, self.zeros, True) + 1 - high[some]
+        end = self._place(high, self.zeros, True) - high
+        while True:
+            open_ = np.flatnonzero(begin < end)
+            if not len(open_):
+                break
+            middle = (begin[open_] + end[open_]) >> 1
+            below = self._low(middle) < low[open_]
+            begin[open_[below]] = middle[below] + 1
+            end[open_[~below]] = middle[~below]
+        place[todo], value[todo] = begin, self.get(begin)
         return place, value
