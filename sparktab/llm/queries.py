@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, chat_events, html_cut, licence_rules, line_rules, minhash_forest, ngram_trie, token_files, windows
+from . import byte_bpe, chat_events, html_cut, licence_rules, line_rules, minhash_forest, ngram_trie, template_leaks, token_files, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,9 @@ def chat_formatting(spark, sf_dir):
 @query("op7_html_extraction")
 def html_extraction(spark, sf_dir):
     return html_cut.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op3_benchmark_decontamination")
+def benchmark_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return template_leaks.leaks(docs, table(spark, sf_dir, "benchmark")).drop("row_key")
