@@ -43,7 +43,7 @@ def template(text: Column) -> Column:
     """``plain`` with placeholders: as many words, each in its place."""
     named = F.regexp_replace(text, r"\p{Lu}(?<=[^\s.!?:;|][ \t]{1,4}\p{Lu})[\p{L}\p{M}'’-]*", "\x01M")
     counted = F.regexp_replace(named, r"\p{Nd}[\p{Nd}]*(?:[.,:/]\p{Nd}+)*(?:(?:st|nd|rd|th)(?![\p{L}\p{M}]))?", "\x01N")
-    return plain(F.regexp_replace(counted, rf"(?<=\x01N[ \t]{{0,2}})(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}\p{{N}}])", "\x01U"))
+    return plain(F.regexp_replace(counted, rf"(\x01N[ \t]{{0,2}})(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}\p{{N}}])", "$1\x01U"))
 
 
 def source(text: Column) -> Column:
