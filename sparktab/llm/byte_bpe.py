@@ -46,9 +46,9 @@ LATIN = re.compile(split_pattern("A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 
 
 #: Pieces that a task remembers.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 300_000
 #: Pair checks that a task remembers.
-KEPT_PAIRS = 2_000_000
+KEPT_PAIRS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
