@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Date shapes accepted by the tolerant parser.
-PATTERNS = (
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "MM/dd/yyyy",
-    "M/d/yyyy",
-    "yyyyMMdd",
-)
+# Date patterns accepted by the tolerant parser, each with the shape of the texts it can read.
+PATTERNS = {
+    "yyyy-MM-dd": r"[+-]?\d{4,}-\d\d-\d\d",
+    "yyyy/MM/dd": r"[+-]?\d{4,}/\d\d/\d\d",
+    "yyyy-M-d": r"[+-]?\d{4,}-\d\d?-\d\d?",
+    "yyyy/M/d": r"[+-]?\d{4,}/\d\d?/\d\d?",
+    "yyyy-MM-dd HH:mm:ss": r"[+-]?\d{4,}-\d\d-\d\d \d\d:\d\d:\d\d",
+    "yyyy/MM/dd HH:mm:ss": r"[+-]?\d{4,}/\d\d/\d\d \d\d:\d\d:\d\d",
+    "yyyy-MM-dd'T'HH:mm:ss": r"[+-]?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d",
+    "MM/dd/yyyy": r"\d\d/\d\d/[+-]?\d{4,}",
+    "M/d/yyyy": r"\d\d?/\d\d?/[+-]?\d{4,}",
+    "yyyyMMdd": r"\d{8}",
+}
 # Year bands that tell the calendars apart.
 JALALI_YEARS = (1200, 1500)
 GREGORIAN_YEARS = (1800, 2200)
@@ -52,9 +52,13 @@ def calendar_type(col: Column) -> Column:
 
 
 def parse_gregorian(col: Column) -> Column:
-    """Timestamp from the first pattern that fits, else missing."""
+    """Timestamp from the first pattern that fits, else missing.
+
+    A failing parse is an exception, so a text meets a parser only if it has its shape.
+    """
     s = F.trim(col)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in PATTERNS])
+    parsed = F.coalesce(*[F.when(s.rlike(f"^{shape}$"), F.try_to_timestamp(s, F.lit(p))) for p, shape in PATTERNS.items()])
+    return F.when(s.rlike(r"^[+-]?\d[\d/:T -]*[\d]$"), parsed)
 
 
 def jalali_is_leap(year: Column) -> Column:

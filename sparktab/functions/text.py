@@ -35,14 +35,23 @@ def _tail(folded: Column) -> Column:
     return F.regexp_replace(spaced, r"\s+[0-9]+$", "")
 
 
+def fold_letters(col: Column) -> Column:
+    """One spelling for letters and digits that have several."""
+    return F.translate(col, LETTERS_FROM + DIGITS_FROM + LETTERS_DROPPED, LETTERS_TO + DIGITS_TO)
+
+
 def normalize_text(col: Column, unicode: bool = False) -> Column:
     """Comparable form of a name: folded letters and digits, spaces for separators, no trailing number.
 
     ``unicode`` adds compatibility composition and full case folding, which no
-    built-in column function offers; leave it off for ASCII names.
+    built-in column function offers; only texts beyond ASCII go that way. It
+    can't be used inside a higher-order function.
     """
     value = F.coalesce(col.cast("string"), F.lit(""))
-    return _tail(_fold_unicode(value) if unicode else F.lower(F.trim(value)))
+    plain = F.lower(F.trim(fold_letters(value)))
+    if unicode:
+        plain = F.coalesce(_fold_unicode(F.when(value.rlike(r"[^\x00-\x7f]"), value)), plain)
+    return _tail(plain)
 
 
 def compact_normalize(col: Column, unicode: bool = False) -> Column:
@@ -110,12 +119,6 @@ def string_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([name_similarity(a or "", b or "") for a, b in zip(left, right)])
 
 
-def edit_similarity(left: Column, right: Column) -> Column:
-    """A different, built-in measure: one minus edit distance over the longer length."""
-    longest = F.greatest(F.length(left), F.length(right))
-    return F.when(longest > 0, 1 - F.levenshtein(left, right) / longest).otherwise(F.lit(0.0))
-
-
 def sanitize_name(name: str, mode: str = "full") -> str:
     """Column name without symbols; ``full`` also deletes digits and squeezes underscores."""
     if mode == "simple":

@@ -10,6 +10,10 @@ from .neighbors import BLOCK_ROWS, knn_join
 from .ordered import global_rank, hash_key
 
 
+#: Rows that are broadcast to their copies; more rows have fewer copies each.
+FEW_ROWS = 20_000
+
+
 def class_counts(df: DataFrame, label: str) -> dict:
     return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
 
@@ -41,6 +45,19 @@ def _copies(df: DataFrame, label: str, row_id: str, seed, extra: dict) -> DataFr
         if n and wanted > 0:
             own = F.lit(wanted // n) + (F.col("_r") <= F.lit(wanted % n)).cast("long")
             times = F.when(F.col(label) == F.lit(value), own).otherwise(times)
+    rows = sum(sizes.get(v, 0) for v, wanted in extra.items() if wanted > 0)
+    if rows <= FEW_ROWS:
+        # Few rows with many copies: a range of the wanted copies is spread over the cluster and looks its row up in a small table.
+        drawn = None
+        for value, wanted in extra.items():
+            n = sizes.get(value, 0)
+            if n and wanted > 0:
+                i = df.sparkSession.range(wanted)
+                own = i.select(F.lit(value).alias("_class"), (F.col("id") % n + 1).alias("_row"), (F.floor(F.col("id") / n) + 1).alias("_copy"))
+                drawn = own if drawn is None else drawn.unionAll(own)
+        if drawn is not None:
+            chosen = ranked.where(F.col(label).isin([v for v, wanted in extra.items() if wanted > 0])).drop("_h")
+            return drawn.join(F.broadcast(chosen), (F.col(label) == F.col("_class")) & (F.col("_r") == F.col("_row"))).select(*chosen.columns, "_copy")
     dealt = ranked.withColumn("_times", times).where("_times > 0")
     return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_h", "_times")
 
@@ -67,16 +84,20 @@ def class_neighbours(df: DataFrame, cols: Sequence[str], label: str, row_id: str
     return found
 
 
-def _interpolate(df: DataFrame, seeds: DataFrame, near: DataFrame, cols, label, row_id, seed) -> DataFrame:
-    """One synthetic row per (seed row, copy): a point between the row and one of its neighbours."""
-    lists = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor_id"))).alias("_near"))
+def _interpolate(df: DataFrame, seeds: DataFrame, near: DataFrame, cols, label, row_id, seed, few: bool = False) -> DataFrame:
+    """One synthetic row per (seed row, copy): a point between the row and one of its neighbours.
+
+    ``few``: ``df`` and ``near`` come from at most FEW_ROWS rows; they are broadcast, so that no row gathers all its copies in one task.
+    """
+    small = F.broadcast if few else lambda rows: rows
+    lists = small(near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor_id"))).alias("_near")))
     drawn = seeds.join(lists, F.col(row_id).cast("long") == F.col("query_id"))
     ident = F.col(row_id).cast("string")
     slot = F.floor(_unit(seed, F.lit("slot"), ident, F.col("_copy")) * F.size("_near")).cast("int")
     drawn = drawn.withColumn("_other", F.get("_near", slot)["neighbor_id"]).withColumn(
         "_u", _unit(seed, F.lit("step"), ident, F.col("_copy"))
     )
-    other = df.select(F.col(row_id).cast("long").alias("_oid"), *[F.col(c).alias(f"_o_{c}") for c in cols])
+    other = small(df.select(F.col(row_id).cast("long").alias("_oid"), *[F.col(c).alias(f"_o_{c}") for c in cols]))
     joined = drawn.join(other, F.col("_other") == F.col("_oid"))
     return joined.select(
         F.col(row_id), F.col(label),
@@ -102,7 +123,9 @@ def smote(df: DataFrame, cols: Sequence[str], label: str, row_id: str, k: int =
         return _with_original(df, cols, label, row_id, None)
     near = class_neighbours(df, cols, label, row_id, k, wanted, block_rows)
     seeds = _copies(df.select(row_id, label, *cols), label, row_id, seed, wanted)
-    return _with_original(df, cols, label, row_id, _interpolate(df, seeds, near, cols, label, row_id, seed))
+    few = sum(counts[v] for v in wanted) <= FEW_ROWS
+    own = df.where(F.col(label).isin(list(wanted))) if few else df  # neighbours are of the same class
+    return _with_original(df, cols, label, row_id, _interpolate(own, seeds, near, cols, label, row_id, seed, few))
 
 
 def majority_share(df: DataFrame, cols: Sequence[str], label: str, row_id: str, value, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:

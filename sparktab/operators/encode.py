@@ -68,8 +68,10 @@ def label_codes(df: DataFrame, target: str) -> DataFrame:
     """Table ``(value, code)``: sorted distinct target values numbered from 0, one row per class."""
     distinct = df.select(F.col(target).alias("value")).where(F.col("value").isNotNull()).distinct()
     if dict(distinct.dtypes)["value"] == "string":
-        rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("value"))
-        return distinct.select("value", (rank - 1).cast("int").alias("code"))
+        # The first six bytes as a number follow the order of the text and deal the values to buckets.
+        lead = F.conv(F.rpad(F.hex(F.substring(F.encode("value", "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        ranked = global_rank(distinct.withColumn("_lead", lead), "_lead", "_r", ties=["value"])
+        return ranked.select("value", (F.col("_r") - 1).cast("int").alias("code"))
     return global_rank(distinct, "value", "_r").select("value", (F.col("_r") - 1).cast("int").alias("code"))
 
 

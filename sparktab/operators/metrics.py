@@ -72,8 +72,9 @@ def roc_curve(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def ranking_metrics(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under ROC (ties count half) and step-wise average precision."""
-    wins = F.col("fp") * (F.col("ctp") - F.col("tp")) + F.col("tp") * F.col("fp") / 2.0
-    step = F.col("tp") * F.try_divide("ctp", F.col("ctp") + F.col("cfp"))
+    fp, tp = F.col("fp").cast("double"), F.col("tp").cast("double")
+    wins = fp * (F.col("ctp") - F.col("tp")) + tp * fp / 2.0
+    step = tp * F.try_divide("ctp", F.col("ctp") + F.col("cfp"))
     sums = points.groupBy(*by).agg(
         F.sum(wins).alias("_wins"), F.sum(step).alias("_steps"), F.max("pos").alias("_pos"), F.max("neg").alias("_neg")
     )

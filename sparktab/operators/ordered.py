@@ -66,20 +66,18 @@ def _carry(df: DataFrame, n: int, by: list[str], aggs: list[Column]) -> DataFram
     return df.groupBy(*by, BUCKET).agg(*aggs)
 
 
-def _join_carry(df: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
+def _join_carry(df: DataFrame, carry: DataFrame, by: list[str], few_groups: bool = False) -> DataFrame:
     keys = [*by, BUCKET]
     renamed = carry.select(*[F.col(k).alias(f"_c_{k}") for k in keys], *[c for c in carry.columns if c not in keys])
     condition = None
     for k in keys:
         part = F.col(k).eqNullSafe(F.col(f"_c_{k}"))
         condition = part if condition is None else condition & part
+    # Without groups there is a row for each bucket, MAX_BUCKETS at most; few groups are the caller's word, given after a count.
+    renamed = F.broadcast(renamed) if few_groups or not by else renamed
     return df.join(renamed, condition, "left").drop(*[f"_c_{k}" for k in keys])
 
 
-def _ordering(specs: Sequence[str | Column]) -> list[Column]:
-    return [F.col(s) if isinstance(s, str) else s for s in specs]
-
-
 def global_rank(
     df: DataFrame,
     order_col: str,
@@ -89,11 +87,13 @@ def global_rank(
     descending: bool = False,
     hashed: bool = False,
     target_rows: int = TARGET_ROWS,
+    few_groups: bool = False,
 ) -> DataFrame:
     """1-based row number of each row in its group, ordered by ``order_col`` then ``ties``.
 
     The order column should be close to unique (an id, a digest, a distinct
-    value).  ``hashed`` says that it holds digests made by :func:`hash_key`.
+    value).  ``hashed`` says that it holds digests made by :func:`hash_key`,
+    ``few_groups`` that the groups were counted and their bucket totals can be broadcast.
     """
     by = list(by)
     bucketed, n = (with_hash_buckets if hashed else with_value_buckets)(df, order_col, target_rows)
@@ -107,7 +107,7 @@ def global_rank(
     earlier = W.partitionBy(*by).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*by, BUCKET, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     return (
-        _join_carry(bucketed, offsets, by)
+        _join_carry(bucketed, offsets, by, few_groups)
         .withColumn(name, (local + F.col("_offset")).cast("long"))
         .drop(BUCKET, "_offset")
     )

@@ -49,7 +49,7 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of several expressions; ``requests`` maps a name to (expression, probabilities).
 
-    ``counts`` gives the number of values per name where the caller has already counted them.
+    ``counts`` gives the number of values per name where the caller has already counted them; it chooses the plan only.
     """
     if not requests:
         return {}
@@ -73,6 +73,9 @@ def quantiles(
             result[n] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs[n])
     large = [n for n in names if counts[n] > max_values]
     if large:
+        # A rank is only as good as its count: given counts are replaced by what the expressions hold.
+        row = df.agg(*[F.count(exprs[n]).alias(f"c{i}") for i, n in enumerate(large)]).first()
+        counts = {**counts, **{n: row[f"c{i}"] for i, n in enumerate(large)}}
         result.update(_bracketed(df, exprs, probs, counts, large, max_values))
     return {n: result[n] for n in names}
 

@@ -73,12 +73,14 @@ def count_and_choose(df: DataFrame, cols: Sequence[str], more_than: int = 10) ->
     cols = list(cols)
     if not cols:
         return [], {}, 0
+    # NaN is missing; a null fails the test too and stays null.
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in cols}
     row = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(c, 0.02).alias(f"d_{c}") for c in cols],
-        *[F.count(F.when(~F.isnan(F.col(c).cast("double")), 1)).alias(f"n_{c}") for c in cols],
+        F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(value[c], 0.02).alias(f"d_{c}") for c in cols],
+        *[F.count(value[c]).alias(f"n_{c}") for c in cols],
     ).first()
     near = [c for c in cols if more_than / 2 <= row[f"d_{c}"] <= more_than * 2]
-    exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first() if near else {}
+    exact = df.agg(*[F.count_distinct(value[c]).alias(c) for c in near]).first() if near else {}
     wide = [c for c in cols if (exact[c] if c in near else row[f"d_{c}"]) > more_than]
     return wide, {c: row[f"n_{c}"] for c in cols}, row["rows"]
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .quantiles import clean_numeric
 from .split import with_balanced_weight
@@ -17,16 +17,20 @@ from .stats import long_form
 def anova_f(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """``(column, f_value)``: between-class over within-class variance.
 
-    One scan: counts, means and centred squares per (column, class), combined
-    without subtracting large numbers.
+    One scan gives counts, means and centred squares per (column, class). Means
+    are compared with the smallest one of their column before they are squared,
+    so an offset common to all values leaves the result as it is.
     """
     parts = long_form(df, cols, [label]).where(F.col("value").isNotNull() & F.col(label).isNotNull()).groupBy("column", label).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")
     )
+    column = W.partitionBy("column")  # one row for each class
+    parts = parts.withColumn("d", F.col("m") - F.min("m").over(column))
+    parts = parts.withColumn("grand", F.sum(F.col("n") * F.col("d")).over(column) / F.sum("n").over(column))
     sums = parts.groupBy("column").agg(
         F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
         F.sum(F.col("n") * F.col("v")).alias("within"),
-        (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum(F.col("n") * F.col("m")) * F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("between"),
+        F.sum(F.col("n") * (F.col("d") - F.col("grand")) * (F.col("d") - F.col("grand"))).alias("between"),
     )
     f = F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("N") - F.col("k")))
     return sums.select("column", F.when(F.col("k") > 1, f).alias("f_value"))
@@ -63,7 +67,7 @@ def select_l1(df: DataFrame, cols: Sequence[str], label: str, C: float = 0.01, m
     return [c for c, w in zip(cols, weights) if w >= 1e-5]
 
 
-def tree_importances(df: DataFrame, cols: Sequence[str], label: str, n_trees: int = 50, features: str = "sqrt", max_depth: int = 12, seed: int = 42) -> dict[str, float]:
+def tree_importances(df: DataFrame, cols: Sequence[str], label: str, n_trees: int = 50, features: str = "sqrt", max_depth: int = 30, seed: int = 42) -> dict[str, float]:
     cols = list(cols)
     data = assemble(df, cols).select(F.col(label).cast("double").alias("label"), "features").persist()
     try:

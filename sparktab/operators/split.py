@@ -7,9 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from .ordered import TARGET_ROWS, global_rank, hash_key
 
 
+MANY_CLASSES = 20
+
+
 def _shuffled_rank(df: DataFrame, label: str, row_id: str, seed, target_rows: int) -> DataFrame:
     keyed = df.withColumn("_h", hash_key(seed, row_id))
-    return global_rank(keyed, "_h", "_r", by=[label], ties=[row_id], hashed=True, target_rows=target_rows).drop("_h")
+    few = _classes_are_few(df, label)
+    return global_rank(keyed, "_h", "_r", by=[label], ties=[row_id], hashed=True, target_rows=target_rows, few_groups=few).drop("_h")
+
+
+def _classes_are_few(df: DataFrame, label: str) -> bool:
+    """At most MANY_CLASSES of them, counted; what is kept for each class and bucket can then be broadcast."""
+    return df.select(label).distinct().limit(MANY_CLASSES + 1).count() <= MANY_CLASSES
 
 
 def stratified_folds(
@@ -33,6 +42,7 @@ def stratified_holdout(
     """Mark the first ``fraction`` of each shuffled class."""
     ranked = _shuffled_rank(df, label, row_id, seed, target_rows)
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = F.broadcast(sizes) if _classes_are_few(df, label) else sizes
     joined = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
     return joined.withColumn(name, F.col("_r") <= F.floor(F.col("_size") * fraction + 0.5)).drop("_r", "_size", "_label")
 

@@ -100,9 +100,3 @@ def ordered_distinct(df: DataFrame, by: Sequence[str], value: str, position: str
     firsts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.min(position).alias("_p"))
     packed = firsts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_p", value))).alias("_a"))
     return packed.select(*by, F.transform("_a", lambda s: s[value]).alias(name))
-
-
-def ties_first(df: DataFrame, by: Sequence[str], order: Sequence, k: int, name: str = "rank") -> DataFrame:
-    """First ``k`` rows per group; Spark limits each partition before the shuffle."""
-    w = W.partitionBy(*by).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)

@@ -149,14 +149,3 @@ def fit_chain(df: DataFrame, features: Sequence[str], label: str, row_id: str, c
     finally:
         filled.unpersist()
     return FittedChain(config, features, row_id, imputer, tamer, scaler, selected, model)
-
-
-def config_row(config: ChainConfig) -> dict:
-    """Flat form for result tables."""
-    flat = asdict(config)
-    params = flat.pop("params")
-    return {**flat, **{f"classifier__{k}": v for k, v in params.items()}}
-
-
-def positive_score(scored: DataFrame, name: str = "score") -> DataFrame:
-    return scored.withColumn(name, F.col("probability")[1])

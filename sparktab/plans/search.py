@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.numbers import lerp, log_lerp
@@ -23,7 +24,6 @@ DETECTORS = ("iforest", "cluster", "statistical")
 REMEDIATIONS = ("winsorize", "percentile_clip", "mad_replace", "cluster_local_median", "shrink", "none")
 SELECTORS = ("kbest:10", "kbest:20", "kbest:30", "kbest:40", "trees")
 BALANCERS = ("identity", "smote:3", "smote:5", "borderline_smote:3")
-SEED_STEP = 7919  # Fixed value: distance between family seeds.
 
 # One row per search dimension: name, kind, low, high, share of none, items.
 DIMENSION_SCHEMA = "family string, name string, kind string, lo double, hi double, none_frac double, items array<string>"
@@ -45,15 +45,15 @@ def preparation_dimensions() -> list[tuple]:
 def family_dimensions(spw_base: float) -> dict[str, list[tuple]]:
     """Classifier dimensions per family; the positive-class weight range follows the class balance."""
     cap = min(10.0, 1.5 * spw_base)
-    boosted = [
-        _dim("classifier__subsample", "lin", 0.5, 1.0), _dim("classifier__colsample_bytree", "lin", 0.5, 1.0),
-        _dim("classifier__reg_alpha", "log", 1e-3, 5.0), _dim("classifier__reg_lambda", "log", 0.1, 10.0),
-        _dim("classifier__scale_pos_weight", "log", 1.0, cap),
-        _dim("classifier__learning_rate", "log", 0.01, 0.3), _dim("classifier__n_estimators", "logint", 100, 1000),
+    # Dimensions of each family with their scales and bounds.
+    rate, trees = _dim("classifier__learning_rate", "log", 0.01, 0.3), _dim("classifier__n_estimators", "logint", 100, 1000)
+    sampling = [_dim("classifier__subsample", "lin", 0.5, 1.0), _dim("classifier__colsample_bytree", "lin", 0.5, 1.0)]
+    penalties = [
+        _dim("classifier__reg_alpha", "log", 1e-3, 5.0), _dim("classifier__reg_lambda", "log", 0.1, 10.0), _dim("classifier__scale_pos_weight", "log", 1.0, cap),
     ]
     return {
-        "xgb": [*boosted, _dim("classifier__max_depth", "int", 2, 12), _dim("classifier__min_child_weight", "logint", 1, 50)],
-        "lgbm": [*boosted, _dim("classifier__num_leaves", "logint", 8, 128), _dim("classifier__min_child_samples", "logint", 5, 100)],
+        "xgb": [rate, _dim("classifier__max_depth", "int", 2, 12), trees, *sampling, _dim("classifier__min_child_weight", "logint", 1, 50), *penalties],
+        "lgbm": [rate, _dim("classifier__num_leaves", "logint", 8, 128), trees, *sampling, _dim("classifier__min_child_samples", "logint", 5, 100), *penalties],
         "rf": [
             _dim("classifier__n_estimators", "logint", 100, 1000), _dim("classifier__max_depth", "mix_int_none", 2, 24, 0.10),
             _dim("classifier__min_samples_leaf", "logint", 1, 50), _dim("classifier__max_features", "cat", items=("sqrt", "log2", "0.5")),
@@ -186,13 +186,15 @@ def _scores(df, features, label, row_id, config, fold_col, fold, seed):
 
 
 def evaluate_fold(df, features, label, row_id, name, config, fold_col, fold, repeat=0, seed=42) -> tuple:
-    """One fit and one metric row; an error is recorded, not raised."""
+    """One fit and one metric row; an error of the fit is recorded whole, a mistake in the plan is raised."""
     try:
         points = curve_points(_scores(df, features, label, row_id, config, fold_col, fold, seed))
         row = ranking_metrics(points).first()
         return (name, repeat, fold, row["pr_auc"], row["roc_auc"], None)
+    except AnalysisException:
+        raise
     except Exception as error:  # noqa: BLE001 - a failed candidate must not stop the sweep
-        return (name, repeat, fold, None, None, f"{type(error).__name__}: {error}"[:2000])
+        return (name, repeat, fold, None, None, f"{type(error).__name__}: {error}")
 
 
 def search(df: DataFrame, features: Sequence[str], label: str, row_id: str, configs: Mapping[str, ChainConfig], n_folds: int = 5,

@@ -32,7 +32,7 @@ def meta_table(folds: DataFrame, candidates: DataFrame) -> DataFrame:
     joined = candidates.join(summarize_folds(folds), "candidate").where("mean_pr_auc is not null")
     return joined.withColumn("cv_pr_auc", F.col("std_pr_auc") / F.greatest(F.col("mean_pr_auc"), F.lit(1e-6))).withColumn(
         "uncertainty_aware_score", F.col("mean_pr_auc") - PENALTY * F.col("std_pr_auc")
-    ).withColumn("brier_mean", F.lit(None).cast("double")).withColumn("recall_at_spec90_mean", F.lit(None).cast("double"))
+    )
 
 
 @dataclass
@@ -67,14 +67,14 @@ def fit_encoder(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str])
     return AxisEncoder({c: m if m is not None else 0.0 for c, m in meds.items()}, {c: sorted(v) for c, v in found.items()})
 
 
-def regressors(n_trees: int = 100, seed: int = 42) -> dict[str, Callable]:
-    """Regressor presets compared by :func:`compare_regressors`."""
+def regressors(n_trees: int = 500, n_rounds: int = 400, seed: int = 42) -> dict[str, Callable]:
+    """Regressor presets compared by :func:`compare_regressors`; forests grow as deep as Spark allows."""
     cols = {"featuresCol": "features", "labelCol": "y", "predictionCol": "yhat"}
     return {
-        "forest": lambda: RandomForestRegressor(numTrees=n_trees, maxDepth=10, seed=seed, **cols),
-        "spread_forest": lambda: RandomForestRegressor(numTrees=n_trees, maxDepth=10, bootstrap=False, featureSubsetStrategy="onethird", seed=seed, **cols),
-        "boosted": lambda: GBTRegressor(maxIter=max(5, n_trees // 2), stepSize=0.05, maxDepth=4, seed=seed, **cols),
-        "boosted_wide": lambda: GBTRegressor(maxIter=max(5, n_trees // 2), stepSize=0.05, maxDepth=5, minInstancesPerNode=5, seed=seed, **cols),
+        "forest": lambda: RandomForestRegressor(numTrees=n_trees, maxDepth=30, minInstancesPerNode=2, seed=seed, **cols),
+        "spread_forest": lambda: RandomForestRegressor(numTrees=n_trees, maxDepth=30, minInstancesPerNode=2, bootstrap=False, featureSubsetStrategy="onethird", seed=seed, **cols),
+        "boosted": lambda: GBTRegressor(maxIter=n_rounds, stepSize=0.05, maxDepth=6, seed=seed, **cols),
+        "boosted_wide": lambda: GBTRegressor(maxIter=n_rounds, stepSize=0.05, maxDepth=6, minInstancesPerNode=5, seed=seed, **cols),
     }
 
 
@@ -174,16 +174,6 @@ def linear_shap(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
 # ---- response surface -------------------------------------------------------------------------
 
 
-def importance_of(importances: DataFrame, name: str) -> float:
-    """Sum over every encoded feature whose name contains ``name``."""
-    return importances.where(F.instr("feature", name) > 0).agg(F.sum("importance")).first()[0] or 0.0
-
-
-def top_pairs(importances: Mapping[str, float], n_axes: int = 4, n_pairs: int = 3) -> list[tuple[str, str]]:
-    ranked = sorted(importances, key=lambda c: -importances[c])[:n_axes]
-    return [(a, b) for i, a in enumerate(ranked) for b in ranked[i + 1:]][:n_pairs]
-
-
 def surface_grid(df: DataFrame, a: str, b: str, cat_cols: Sequence[str], num_cols: Sequence[str], steps: int = 30) -> DataFrame:
     """Grid over two axes between their extremes; other axes at their median or most frequent value."""
     row = df.agg(*[f(c).alias(f"{n}_{c}") for c in (a, b) for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -306,7 +296,7 @@ def optimize(df: DataFrame, features: Sequence[str], label: str, row_id: str, me
     for b in range(batches):
         encoder = fit_encoder(meta, cat_cols, num_cols)
         train = encoder.transform(meta).select("features", F.col(target).alias("y"))
-        forest = RandomForestRegressor(numTrees=n_trees, maxDepth=10, bootstrap=False, featureSubsetStrategy="onethird", minInstancesPerNode=2,
+        forest = RandomForestRegressor(numTrees=n_trees, maxDepth=30, bootstrap=False, featureSubsetStrategy="onethird", minInstancesPerNode=2,
                                        featuresCol="features", labelCol="y", seed=seed + b).fit(train)
         best = meta.agg(F.max(target)).first()[0]
         fresh = _complete(candidate_table(candidate_values(spark, spw_base, pool, quotas, seed + 100 + b, dims)), cat_cols, num_cols)
@@ -368,10 +358,6 @@ def top_survivors(meta: DataFrame, k: int = 5, score: str = "uncertainty_aware_s
     return meta.orderBy(F.col(score).desc(), "candidate").limit(k)
 
 
-def stable_winner(table: DataFrame) -> DataFrame:
-    return table.orderBy(F.col("stability_score").desc(), "candidate").limit(1)
-
-
 def freeze_winner(train: DataFrame, holdout: DataFrame, features: Sequence[str], label: str, row_id: str, config: ChainConfig, seed: int = 42):
     """Refit the winner and recompute its thresholds on hold-out rows: (chain, metadata)."""
     chain = fit_chain(train, features, label, row_id, config, seed)

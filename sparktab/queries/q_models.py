@@ -49,14 +49,14 @@ def _model_query(key, family, params):
     return run
 
 
-_model_query("m1_logistic_l2", "lr", {"C": 1.0, "max_iter": 100})
-_model_query("m1_logistic_l1", "lr", {"C": 0.1, "penalty": "l1", "max_iter": 100})
-_model_query("m2_kernel_svm", "svc", {"n_components": 64, "max_iter": 30})
-_model_query("m3_random_forest", "rf", {"n_estimators": 20, "max_depth": 6})
+_model_query("m1_logistic_l2", "lr", {})
+_model_query("m1_logistic_l1", "lr", {"C": 0.1, "penalty": "l1"})
+_model_query("m2_kernel_svm", "svc", {})
+_model_query("m3_random_forest", "rf", {})
 _model_query("m4_boosted_xgb", "xgb", {"n_estimators": 5, "max_depth": 3, "scale_pos_weight": 0.5})
 _model_query("m5_boosted_lgbm", "lgbm", {"n_estimators": 5, "num_leaves": 8, "min_child_samples": 5})
 _model_query("m6_boosted_catboost", "catboost", {"iterations": 5, "depth": 3})
-_model_query("m7_perceptron", "mlp", {"hidden": (8,), "max_iter": 30})
+_model_query("m7_perceptron", "mlp", {})
 SMALL_STACK = {"xgb": {"n_estimators": 2, "max_depth": 2}, "lgbm": {"n_estimators": 2, "num_leaves": 4}, "lr": {"max_iter": 20}, "cv": 2, "inner_cv": 2}
 _model_query("m8_calibrated_stack", "stacker", SMALL_STACK)
 
@@ -72,7 +72,7 @@ def l2(spark, sf):
 
 @query("l3_select_by_trees")
 def l3(spark, sf):
-    return _names(spark, select.select_by_trees(_scaled(spark, sf), FEATURES, "label", n_trees=20, max_depth=5))
+    return _names(spark, select.select_by_trees(_scaled(spark, sf), FEATURES, "label", n_trees=50))
 
 
 @query("l4_select_recursively")
@@ -203,7 +203,7 @@ def _regression(spark, sf):
 
 
 def _small_models():
-    return surrogate.regressors(5)
+    return surrogate.regressors(100, 20)
 
 
 @query("g3_compare_regressors")
@@ -221,7 +221,7 @@ def g4(spark, sf):
 @query("g5_permutation_importance")
 def g5(spark, sf):
     _, enc, df = _regression(spark, sf)
-    return surrogate.permutation_importance(df, _small_models()["forest"]().fit(df), enc.names, "row_id", repeats=3)
+    return surrogate.permutation_importance(df, _small_models()["forest"]().fit(df), enc.names, "row_id", repeats=20)
 
 
 @query("g6_shapley_importance")

@@ -152,7 +152,7 @@ def test_importances_find_the_driver(spark):
     df = spark.createDataFrame(rows, "row_id long, a double, b double, y double")
     enc = surrogate.fit_encoder(df, [], ["a", "b"])
     ready = enc.transform(df).select("row_id", "features", "y")
-    model = surrogate.regressors(5)["forest"]().fit(ready)
+    model = surrogate.regressors(5, 5)["forest"]().fit(ready)
     drop = {r["feature"]: r for r in surrogate.permutation_importance(ready, model, enc.names, "row_id", 2).collect()}
     shap = {r["feature"]: r["mean_abs_shap"] for r in surrogate.shapley_importance(ready, model, enc.names, "row_id", 2).collect()}
     assert drop["a"]["importance"] > 0.5 > drop["b"]["importance"] and shap["a"] > 10 * shap["b"]
