@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, chat_events, html_cut, licence_rules, line_rules, minhash_forest, ngram_trie, template_leaks, token_files, windows
+from . import byte_bpe, chat_events, html_cut, licence_rules, line_rules, minhash_forest, ngram_trie, oracles, template_leaks, token_files, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", oracles.SUBSTRING_DEDUP)
 def substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return windows.removal(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -55,12 +55,12 @@ def token_id_files(spark, sf_dir):
     return token_files.read_checked(spark, path)
 
 
-@query("op10_jaccard_join")
+@query("op10_jaccard_join", oracles.JACCARD_JOIN)
 def jaccard_join(spark, sf_dir):
     return minhash_forest.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op2_quality_rules")
+@query("op2_quality_rules", oracles.QUALITY_RULES)
 def quality_rules(spark, sf_dir):
     return line_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left"
@@ -72,7 +72,7 @@ def license_scan(spark, sf_dir):
     return licence_rules.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
 
 
-@query("op6_chat_formatting")
+@query("op6_chat_formatting", oracles.CHAT_FORMATTING)
 def chat_formatting(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
