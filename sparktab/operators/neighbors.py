@@ -138,33 +138,48 @@ def _blocks(points: DataFrame, side: str, parts: DataFrame) -> DataFrame:
 
 
 def squared_distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Squared distances over shared coordinates, scaled by (all / shared); infinite when none is shared."""
-    total = np.zeros((len(q), len(d)))
-    if not (np.isnan(q).any() or np.isnan(d).any()):
-        for i in range(q.shape[1]):
-            diff = q[:, i][:, None] - d[:, i][None, :]
-            total += diff * diff
-        return total
-    shared = np.zeros_like(total)
-    for i in range(q.shape[1]):
-        diff = q[:, i][:, None] - d[:, i][None, :]
-        known = ~np.isnan(diff)
-        shared += known
-        total += np.where(known, diff * diff, 0.0)
+    """Squared distances over shared coordinates, scaled by (all / shared), summed in the order of the coordinates; infinite when none is shared."""
+    diff = q - d
+    known = ~np.isnan(diff)
+    shared = known.sum(axis=-1)
+    total = np.cumsum(np.where(known, diff * diff, 0.0), axis=-1)[..., -1] if diff.shape[-1] else np.zeros(diff.shape[:-1])
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(shared > 0, total * (q.shape[1] / shared), np.inf)
+        return np.where(shared == diff.shape[-1], total, np.where(shared > 0, total * (diff.shape[-1] / shared), np.inf))
+
+
+def _bounds(q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that the squared distances of all pairs lie between, by matrix products: dim multiplications a pair, whatever is missing."""
+    kq, kd = ~np.isnan(q), ~np.isnan(d)
+    q0, d0 = np.where(kq, q, 0.0), np.where(kd, d, 0.0)
+    whole = kq.all() and kd.all()
+    size = (q0 * q0).sum(1)[:, None] + (d0 * d0).sum(1)[None, :] if whole else (q0 * q0) @ kd.T.astype(float) + kq.astype(float) @ (d0 * d0).T
+    rough, slack = size - 2.0 * (q0 @ d0.T), 1e-12 * size
+    if whole:
+        return rough - slack, rough + slack
+    shared = kq.astype(float) @ kd.T.astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        stretch = np.where(shared > 0, q.shape[1] / shared, np.inf)
+        return (np.where(shared > 0, (rough + sign * slack) * stretch, np.inf) for sign in (-1, 1))
 
 
 def _nearest(q: np.ndarray, d: np.ndarray, d_keys: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """The k nearest donors of each query by (distance, id); donors without a shared coordinate do not count."""
-    dist = squared_distances(q, d)
-    top = min(k, dist.shape[1])
-    edge = np.partition(dist, top - 1, axis=1)[:, top - 1] if top else np.zeros(len(q))
+    """The k nearest donors of each query by (distance, id); donors without a shared coordinate do not count.
+
+    Bounds leave a few donors per query; only these are measured.
+    """
+    top = min(k, len(d))
+    if not top or not len(q):
+        return [[] for _ in range(len(q))]
+    with np.errstate(invalid="ignore", over="ignore"):
+        low, high = _bounds(q, d)
+    low, high = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+    edge = np.partition(high, top - 1, axis=1)[:, top - 1]
     out = []
     for i in range(len(q)):
-        near = np.flatnonzero((dist[i] <= edge[i]) & np.isfinite(dist[i]))
-        order = near[np.lexsort((d_keys[near], dist[i, near]))][:top]
-        out.append([(float(dist[i, j]), int(d_keys[j])) for j in order])
+        near = np.flatnonzero((low[i] <= edge[i]) & (low[i] < np.inf))
+        dist = squared_distances(q[i], d[near])
+        order = np.lexsort((d_keys[near], dist))[:top]
+        out.append([(float(dist[j]), int(d_keys[near[j]])) for j in order if np.isfinite(dist[j])])
     return out
 
 

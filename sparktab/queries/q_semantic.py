@@ -204,11 +204,15 @@ def _index_texts(spark, sf, layout):
     label = F.col("label").cast("string")
     vector = F.col("embedding").cast("array<double>")
     record = F.struct(text.alias("text"), label.alias("concept_id"), F.lit("en").alias("language"), vector.alias("embedding"))
-    shape = {
-        "records": F.array(record), "wrapper": F.struct(F.lit("x").alias("model"), F.array(record).alias("embeddings")),
-        "mapping": F.create_map(text, vector), "nested": F.create_map(label, F.create_map(text, vector)),
-    }[layout]
-    return table(spark, sf, "embeddings").select(F.to_json(shape).alias("json"))
+    rows = table(spark, sf, "embeddings").withColumn("document", F.col("vec_id") % 16)  # documents of many records
+    if layout == "nested":
+        rows = rows.groupBy("document", label.alias("label")).agg(F.map_from_entries(F.collect_list(F.struct(text, vector))).alias("vectors"))
+        shape = F.map_from_entries(F.collect_list(F.struct("label", "vectors")))
+    else:
+        records = F.collect_list(record)
+        shape = {"records": records, "wrapper": F.struct(F.first(F.lit("x")).alias("model"), records.alias("embeddings")),
+                 "mapping": F.map_from_entries(F.collect_list(F.struct(text, vector)))}[layout]
+    return rows.groupBy("document").agg(F.to_json(shape).alias("json")).select("json")
 
 
 def _read_index(spark, sf, layout):

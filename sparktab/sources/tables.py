@@ -106,7 +106,10 @@ def _sheet_rows(content: bytes):
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """First sheets of one or many workbooks with the same heading; a task reads whole files."""
+    """First sheets of one or many workbooks; a task reads whole files.
+
+    Every file is read by its own heading, so columns may stand in another order; files that name other columns are refused.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def rows(batches):
@@ -120,7 +123,13 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     if heading is None:
         raise ValueError(f"no rows in {path}")
     names = [c if c is not None else f"Unnamed: {i}" for i, c in enumerate(heading["cells"])]
-    body = lines.where("line > 0").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    named = F.transform("cells", lambda c, i: F.coalesce(c, F.concat(F.lit("Unnamed: "), i.cast("string"))))
+    headings = lines.where("line = 0").select("path", named.alias("names"))
+    other = headings.where(F.array_sort("names") != F.array_sort(F.array(*map(F.lit, names)))).select("path").limit(1).first()
+    if other is not None:
+        raise ValueError(f"{other['path']} has other columns than {heading['path']}")
+    at = lambda n: F.array_position("names", n).cast("int") - 1
+    body = lines.where("line > 0").join(headings, "path").select(*[F.get("cells", at(n)).alias(n) for n in names])
     return infer_types(blank_tokens(body))
 
 

@@ -100,6 +100,15 @@ def test_workbooks(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [(1, "x", 2.5), (2, None, None), (3, "y", 7.0)]
 
 
+def test_workbooks_are_read_by_their_own_heading(spark, tmp_path):
+    (tmp_path / "one.xlsx").write_bytes(workbook([["id", "name", "v"], [1, "x", 2.5]]))
+    (tmp_path / "two.xlsx").write_bytes(workbook([["v", "id", "name"], [7, 3, "y"]]))
+    assert sorted(map(tuple, tables.read_any(spark, str(tmp_path / "*.xlsx")).select("id", "name", "v").collect())) == [(1, "x", 2.5), (3, "y", 7.0)]
+    (tmp_path / "three.xlsx").write_bytes(workbook([["id", "other", "v"], [3, "y", 7]]))
+    with pytest.raises(ValueError, match="other columns"):
+        tables.read_any(spark, str(tmp_path / "*.xlsx"))
+
+
 def test_unicode_names(spark):
     got = one(spark, lambda c: text.normalize_text(c, unicode=True), "  ﻗﻨﺪ_ﺧﻮﻥ ۱۲", "Straße.NAME-3", "Ａge", None)
     assert got == ["قند خون", "strasse name", "age", ""]
