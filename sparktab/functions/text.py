@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -109,6 +110,26 @@ def name_matcher(b: str):
     return score
 
 
+def name_bound(b: str):
+    """Function giving a value that :func:`name_matcher` of ``b`` can't exceed: letters are counted instead of matched."""
+    compact, right, letters = b.replace(" ", ""), set(b.split()), Counter(b)
+
+    def bound(a: str, own: Counter) -> float:
+        if not a or not b:
+            return 0.0
+        if a == b or a.replace(" ", "") == compact:
+            return 1.0
+        longest = len(a) + len(b)
+        ratio = 2.0 * sum(min(n, letters[c]) for c, n in own.items() if c in letters) / longest
+        left = set(a.split())
+        if not left or not right:
+            return ratio
+        shared = len(left & right)
+        return 0.65 * ratio + 0.35 * (0.65 * shared / len(left | right) + 0.35 * shared / min(len(left), len(right)))
+
+    return bound
+
+
 def name_similarity(a: str, b: str) -> float:
     return name_matcher(b)(a)
 
