@@ -1,7 +1,8 @@
 """Models, selectors that need a model, search, surrogates, bundles, files and streams.
 
-Rows are all labelled documents; numbers describe the whole text.  The forests
-and boosters are small here because the table is; every row takes part.
+Rows are all labelled documents; numbers describe the whole text and every row takes
+part.  Boosters have fewer rounds than the defaults of their family: each round is
+several Spark jobs whatever the size of the table.
 """
 
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def _bundle(spark, sf):
     mapping = category_map(df, ["lang"], "row_id")
     coded = encode_categories(df, mapping, ["lang"], "keep")
     features = [*FEATURES, "lang"]
-    config = ChainConfig("median", "robust", "statistical", "winsorize", selector="kbest:5", family="lr", params={"max_iter": 50})
+    config = ChainConfig("median", "robust", "statistical", "winsorize", selector="kbest:5", family="lr", params={})
     chain = fit_chain(coded, features, "label", "row_id", config)
     return df, Bundle(RawPreprocessor("label", {}, mapping, features, "simple"), chain, 0.5, {0: "poor", 1: "good"})
 
@@ -170,21 +171,21 @@ def st1(spark, sf):
 
 def _configs():
     return {
-        "lr": ChainConfig("mean", "zscore", "statistical", "mad_replace", selector="kbest:4", family="lr", params={"max_iter": 30}),
-        "tree": ChainConfig("median", "robust", "statistical", "winsorize", selector="all", family="rf", params={"n_estimators": 5, "max_depth": 3}),
+        "lr": ChainConfig("mean", "zscore", "statistical", "mad_replace", selector="kbest:4", family="lr", params={}),
+        "tree": ChainConfig("median", "robust", "statistical", "winsorize", selector="all", family="rf", params={"n_estimators": 100}),
         "broken": ChainConfig("mean", "zscore", "statistical", "none", selector="kbest:4", family="lr", params={"C": -1.0}),
     }
 
 
 @query("h6_search")
 def h6(spark, sf):
-    return search.search(documents(spark, sf).drop("lang"), FEATURES, "label", "row_id", _configs(), n_folds=3)
+    return search.search(documents(spark, sf).drop("lang"), FEATURES, "label", "row_id", _configs(), n_folds=5)
 
 
 @query("g14_stability_gate")
 def g14(spark, sf):
     configs = {k: v for k, v in _configs().items() if k != "broken"}
-    return surrogate.stability_table(surrogate.stability_scores(documents(spark, sf).drop("lang"), FEATURES, "label", "row_id", configs, n_folds=2, n_repeats=2))
+    return surrogate.stability_table(surrogate.stability_scores(documents(spark, sf).drop("lang"), FEATURES, "label", "row_id", configs, n_folds=5, n_repeats=3))
 
 
 @query("h9_winner_report")

@@ -54,7 +54,7 @@ def i4(spark, sf):
 @query("i8_chained_impute")
 def i8(spark, sf):
     df = orders(spark, sf).withColumn("age", F.datediff(F.lit("2002-01-01").cast("date"), F.col("odate")).cast("double"))
-    return impute.fit_chained(df, ["price", "cust", "age"], max_rounds=4).transform(df).select("row_id", "price", "cust", "age")
+    return impute.fit_chained(df, ["price", "cust", "age"]).transform(df).select("row_id", "price", "cust", "age")
 
 
 KNN_COLS = ["bal", "nat", "size"]
