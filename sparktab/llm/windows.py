@@ -58,6 +58,18 @@ def intervals(covered: np.ndarray, at: np.ndarray, repeated: np.ndarray, size: i
     return np.cumsum(step[:-1]) > 0
 
 
+def cut_out(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
+    """The text from its first kept word on, without the removed runs of words: what stood after a kept run joins it to the next."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]])))
+    runs = edges.reshape(-1, 2).tolist()  # kept words a .. b - 1
+    parts = []
+    for k, (a, b) in enumerate(runs):
+        parts.append(text[starts[a]:ends[b - 1]])
+        if k + 1 < len(runs):
+            parts.append(text[ends[b - 1]:starts[b]])
+    return b"".join(parts)
+
+
 def removal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_hashes: int = SHARD_HASHES) -> DataFrame:
     """All columns of ``docs`` but the text, then n_words, n_removed and ``kept``: the words that stay, joined by one space.
 
@@ -71,7 +83,7 @@ def removal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows and columns of ``docs``; a text that loses words becomes its kept words joined by one space, others stay as they are."""
+    """The rows and columns of ``docs``. A text loses the removed intervals and the white space after them; the rest, lines included, stays as it is."""
     names, at = docs.columns, docs.columns.index(text)
     n_bytes, _ = text_bytes(docs, text)
     chunked = with_chunks(docs, doc_id, text, chunk_count(n_bytes))
@@ -116,7 +128,8 @@ def marked(chunked: DataFrame, window: int, shards: int, whole: bool = False) ->
         for i in range(texts.num_rows):
             own = text[offs[i]:offs[i + 1]]
             if removed[i]:
-                kept.append(b" ".join(compress(own.split(), stay[words.first[i]:words.first[i + 1]])))
+                a, b = words.first[i], words.first[i + 1]
+                kept.append(cut_out(text, words.starts[a:b], words.ends[a:b], gone[a:b]) if whole else b" ".join(compress(own.split(), stay[a:b])))
             else:
                 kept.append((None if nulls[i] else own) if whole else b" ".join(own.split()))
         return with_columns(texts, {"n_words": np.diff(words.first), "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())})

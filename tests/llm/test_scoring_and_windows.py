@@ -109,6 +109,13 @@ def test_remove_repeats_keeps_columns_and_untouched_texts(spark):
     assert windows.remove_repeats(frame.limit(0)).columns == frame.columns
 
 
+def test_what_stays_keeps_its_lines(spark):
+    passage = " ".join(f"p{k}" for k in range(50))
+    texts = [f"one\n two  three\n{passage}\nfour\tfive\n", f"{passage} six", f"seven {passage}", f"{passage}\neight\n{passage}"]
+    got = {r.doc_id: r.text for r in windows.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "one\n two  three\nfour\tfive", 1: "six", 2: "seven", 3: "eight"}
+
+
 def test_window_query_over_the_table(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     expected = dict(zip(texts, brute_windows(texts.values(), 35)))
