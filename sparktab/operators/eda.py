@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.numbers import format_p_value, pearson_p_value, significance
 from .metrics import guarded_corr
 from .quantiles import clean_numeric
-from .stats import long_form
 
 CORR_PER_PASS = 300
 

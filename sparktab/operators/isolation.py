@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .quantiles import clean_numeric, quantiles
+from .quantiles import quantiles
 
 EULER_GAMMA = 0.5772156649015329  # Fixed value.
 

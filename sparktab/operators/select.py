@@ -9,7 +9,6 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .quantiles import clean_numeric
 from .split import with_balanced_weight
 from .stats import long_form
 
