@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 RECORD = "chunk int, shard int, payload binary"
 
 

@@ -36,7 +36,7 @@ from .words import flat, mix, words_of
 #: Prior weight m of the unigrams, in tokens.
 PRIOR = 4.0
 #: Training tokens and questions that one shard takes on average.
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 1_000_000
 #: Steps of a quantised log10 probability; code 0 is "not seen".
 STEPS = 4096
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
@@ -130,10 +130,9 @@ class Trie:
         return out
 
 
-def training(ids: pa.ChunkedArray, parts: int, held: int) -> tuple[np.ndarray, np.ndarray]:
+def training(ids: pa.ChunkedArray | pa.Array, parts: int, held: int) -> np.ndarray:
     """Which ids are held out: crc32 of the id as text modulo ``parts`` is ``held``; null ids are not."""
-    out = np.array([x is not None and zlib.crc32(str(x).encode()) % parts == held for x in ids.to_pylist()], bool)
-    return out
+    return np.array([x is not None and zlib.crc32(str(x).encode()) % parts == held for x in ids.to_pylist()], bool)
 
 
 def word_counts(docs: DataFrame, doc_id: str, text: str, parts: int, held: int) -> DataFrame:
@@ -148,17 +147,20 @@ def word_counts(docs: DataFrame, doc_id: str, text: str, parts: int, held: int)
             return word, np.bincount(own, weights=np.concatenate(sums)).astype(np.int64)
 
         for batch in batches:
-            learn = ~training(batch["id"], parts, held)
-            raw, offs = flat(batch["text"])
-            words = words_of(raw, offs, fold=True)
-            got, n = np.unique(words.hashes[learn[words.texts()]], return_counts=True)
-            keys.append(got)
-            sums.append(n)
-            size += len(got)
-            if size > 3_000_000:  # bounds the memory of a task; Spark adds up what it gives
-                word, n = merged()
-                yield pa.record_batch({"word": word.view(np.int64), "n": n})
-                keys, sums, size = [], [], 0
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                learn = ~training(part["id"], parts, held)
+                words = words_of(*flat(part["text"]), fold=True)
+                got, n = np.unique(words.hashes[learn[words.texts()]], return_counts=True)
+                keys.append(got)
+                sums.append(n)
+                size += len(got)
+                if size > 2_000_000:  # bounds the memory of a task; Spark adds up what it gives
+                    word, n = merged()
+                    keys, sums, size = [word], [n], len(word)
+                    if size > 1_000_000:
+                        yield pa.record_batch({"word": word.view(np.int64), "n": n})
+                        keys, sums, size = [], [], 0
         if size:
             word, n = merged()
             yield pa.record_batch({"word": word.view(np.int64), "n": n})
@@ -200,16 +202,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: in
         inner = np.ones(first[-1], bool)
         inner[first[1:] - 1] = False
         token[inner] = words.hashes
-        context = np.empty(first[-1], np.uint64)
-        context[1:] = token[:-1]
-        context[first[:-1]] = START
+        del words, inner, raw
         vocabulary, ids = np.unique(np.concatenate([token, [START, END]]), return_inverse=True)
+        del token
         start = ids[-2]
         before = np.empty(first[-1], np.int64)
         before[1:] = ids[:-3]
         before[first[:-1]] = start
         pair, own = np.unique(before * len(vocabulary) + ids[:-2], return_inverse=True)
         left, right = pair // len(vocabulary), pair % len(vocabulary)
+        del before, pair
         route = mix(vocabulary)[left] >> np.uint64(20)
         if len(hot_words):
             at = np.minimum(np.searchsorted(hot_words, vocabulary), len(hot_words) - 1)
@@ -219,7 +221,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: in
         order = np.argsort(shard, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        learned = np.bincount(own, weights=np.repeat(~held_out, lengths), minlength=len(pair)).astype(np.int64)
+        learned = np.bincount(own, weights=np.repeat(~held_out, lengths), minlength=len(left)).astype(np.int64)
         return held_out, first, vocabulary, ids[:-2], left[order], right[order], shard[order], back[own], learned[order]
 
     def ask(texts: pa.Table) -> pa.Table:
