@@ -18,7 +18,6 @@ other. An empty table gives an empty result. Other columns are left out of the j
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa

@@ -5,8 +5,9 @@ Columns: ``doc_id``, ``part`` (the file's number), ``begin`` (ids of the file be
 dictionary-encoded, the ascending columns delta-encoded (format version 2); row groups and pages have set sizes, and the page indexes let a
 reader fetch the ids of a range of texts, or the lengths alone, without the rest of the file.
 
-Words of ASCII white space are encoded one by one with the tokenizers library and remembered: its normalizers and its split pattern never
-look across white space. A word's run of ASCII marks at the end is a piece of its own.
+Texts are cut at ASCII white space and where an ASCII letter meets an ASCII mark other than an apostrophe. The library's normalizers and its
+split pattern never look across these borders, so distinct words are encoded once with the tokenizers library, remembered, and put together.
+Words of one batch are told apart by 64-bit hashes.
 
 Null and empty texts have only the end id. Null ids come first; repeated ids are rows of their own, in order of their text. An empty table
 gives files without rows. Extra columns are not written.
@@ -19,24 +20,25 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from .exchange import text_bytes
-from .words import kept_in_worker
+from .words import flat, kept_in_worker, words_of
 
 #: Bytes of text for one file.
 FILE_BYTES = 32 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 #: Words that a task remembers.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 500_000
 #: New words of letters that the library gets as one text.
 JOINED_WORDS = 200
 
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_ALNUM = frozenset(b for b in range(128) if chr(b).isalnum())
+#: Bytes of ASCII letters are kind 1, ASCII marks kind 2; an apostrophe may belong to an ending, so it is neither, as digits and other letters are.
+KINDS = np.array([1 if chr(b).isalpha() and b < 128 else 2 if 33 <= b < 127 and not chr(b).isalnum() and b != 39 else 0 for b in range(256)], np.uint8)
 
 
 class WordEncoder:
@@ -60,9 +62,11 @@ class WordEncoder:
             self.known[word] = np.array(got.ids, "<u4").tobytes()
 
     def _ask(self, words: list[bytes]) -> None:
-        """Words of ASCII letters are one piece each, so that the ids of many fall apart at the tokens that end a piece; others go one by one."""
-        simple = [w for w in words if w.isalpha()]
-        self._each([w for w in words if not w.isalpha()])
+        """Words of letters have one piece each, so that the ids of many fall apart at the tokens that end a piece; where they don't, one by one."""
+        simple, other = [], []
+        for w in words:
+            (simple if w.isalpha() or w.decode().isalpha() else other).append(w)
+        self._each(other)
         groups = [simple[k:k + JOINED_WORDS] for k in range(0, len(simple), JOINED_WORDS)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
             ids = np.array(got.ids, "<u4")
@@ -70,38 +74,38 @@ class WordEncoder:
             if len(stops) != len(group):
                 self._each(group)
                 continue
-            packed, begin = ids.tobytes(), 0
-            for word, stop in zip(group, (4 * stops).tolist()):
-                self.known[word] = packed[begin:stop]
-                begin = stop
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that are not known yet."""
-        known, cut, ask = self.known, [], set()
-        for word in words:
-            core = word.rstrip(_MARKS)
-            if core and len(core) < len(word) and core[-1] in _ALNUM and b"<|" not in word and b"'" not in word:
-                tail = word[len(core):]
-                cut.append((word, core, tail))
-                ask.update(x for x in (core, tail) if x not in known)
-            else:
-                ask.add(word)
-        self._ask(list(ask))
-        for word, core, tail in cut:
-            known[word] = known[core] + known[tail]
-
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
+            packed, stops = ids.tobytes(), (4 * stops).tolist()
+            self.known.update(zip(group, [packed[begin:stop] for begin, stop in zip([0, *stops], stops)]))
+
+    def encode(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        """Packed ids of each text, then ``end``. Distinct words are looked up once for all texts; ids are gathered by place."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        # added tokens are found before letters are lower-cased: texts that may hold one go to the library as they are
+        whole = pc.match_substring(texts, "<|")
+        plain = pc.if_else(whole, "", texts)
+        raw, offs = flat(plain)
+        raw = raw.copy()
+        raw[(raw >= 65) & (raw <= 90)] |= 0x20
+        words = words_of(raw, offs, kinds=KINDS)
+        _, at, own = np.unique(words.hashes, return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        distinct = [data[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
         known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        split = []
-        for text in texts:
-            raw = (text or "").encode()
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            self.learn(new)
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        self._ask([w for w in distinct if w not in known])
+        packed = [known[w] for w in distinct]
+        if len(known) > KEPT_WORDS:  # the words of these texts stay: the common ones are among them
+            self.known = dict(zip(distinct, packed))
+        size = np.array([len(p) // 4 for p in packed], np.int64)
+        begin = np.cumsum(size) - size
+        size, begin = size[own], begin[own]
+        stops = np.concatenate([[0], np.cumsum(size)])
+        values = np.frombuffer(b"".join(packed), "<u4")[np.repeat(begin - stops[:-1], size) + np.arange(stops[-1])].tobytes()
+        cuts = (4 * stops[words.first]).tolist()
+        out = [values[a:b] + end for a, b in zip(cuts[:-1], cuts[1:])]
+        special = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        for i, got in zip(special, self.tokenizer.encode_batch_fast([texts[i].as_py() for i in special], add_special_tokens=False)):
+            out[i] = np.array(got.ids, "<u4").tobytes() + end
+        return out
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES) -> int:
@@ -118,7 +122,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_i
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 piece = batch.slice(low, 512)
-                ids = encoder.encode(piece["text"].to_pylist(), end)
+                ids = encoder.encode(piece["text"], end)
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 stops = np.concatenate([[0], np.cumsum(sizes)])
                 values = np.frombuffer(b"".join(ids), "<i4")

@@ -85,8 +85,11 @@ def byte_table(marks: bytes) -> np.ndarray:
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def words_of(raw: np.ndarray, offs: np.ndarray, fold: bool = False, between: bytes = SPACES) -> Words:
-    """All words of the texts in order. ``fold`` lower-cases A-Z in the hashes; ``between`` are the bytes between words."""
+def words_of(raw: np.ndarray, offs: np.ndarray, fold: bool = False, between: bytes = SPACES, kinds: np.ndarray | None = None) -> Words:
+    """All words of the texts in order. ``fold`` lower-cases A-Z in the hashes; ``between`` are the bytes between words.
+
+    ``kinds`` (256 numbers) cuts words where a byte of kind 1 and one of kind 2 meet.
+    """
     gap = byte_table(between)
     values = mix(np.arange(256, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
     if fold:
@@ -102,6 +105,10 @@ def words_of(raw: np.ndarray, offs: np.ndarray, fold: bool = False, between: byt
             inside = ~gap[piece]
             edge = np.zeros(len(piece) + 1, bool)
             edge[offs[at:to + 1] - low] = True
+            if kinds is not None:
+                kind = kinds[piece]
+                edge[1:-1] |= kind[:-1] + kind[1:] * 4 == 6
+                edge[1:-1] |= kind[:-1] + kind[1:] * 4 == 9
             before = np.empty(len(piece), bool)
             before[0] = False
             before[1:] = inside[:-1]
