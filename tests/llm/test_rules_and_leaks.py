@@ -100,6 +100,25 @@ def test_changed_numbers_and_names_are_caught_if_slots_agree(spark, most):
     assert template_leaks.leaks(docs, bench.limit(0)).count() == 0 and template_leaks.leaks(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("item, text, caught", [
+    ("What is the capital of France?", "1) What is the capital of France?", True), ("What is the capital of France?", "- What is the capital of France?", True),
+    ("What is the capital of France?", "so What is the capital of Spain", True), ("What is the capital of France?", "tell me what is the capital of france", True),
+    ("Tom has 3 apples. Ann has 4 pears. How many?", "x Jim has 5 apples. Sue has 9 pears. How many?", True),
+    ("Tom has 3 apples. Ann has 4 pears. How many?", "x Jim has 5 apples; Sue has 9 pears; how many", True),
+    ("if Tom has 3 apples and Ann has 4 pears", "If Jim has 5 apples and Sue has 9 pears", True),
+    ("Paris Rome Berlin Madrid 12 15", "cities: paris rome berlin madrid 12 15", True), ("Paris Rome Berlin Madrid 12 15", "Oslo Bern Vienna Athens 12 15", False),
+    ("Tom has 3 apples and Tom has 4 pears today", "Jim has 5 apples and Sue has 9 pears today", False),
+    ("the farmer sold nine large baskets of ripe cherries at the old market near the river before noon that day",
+     "the farmer sold nine large baskets of ripe cherries at the very old market near the river before noon that day", True),
+    ("one small boat left with its crew for the big island and after two days the whole crew came home safe",
+     "one small boat left with its crew for the very big island and then two days the whole crew came home safe", True),
+])
+def test_readings_plain_windows_and_neighbouring_shifts(spark, item, text, caught):
+    docs = spark.createDataFrame([(1, text), (2, "other words")], "doc_id long, text string")
+    found = [template_leaks.leaks(docs, items(spark, [(7, item)]), gate_pairs=most).collect() for most in (template_leaks.GATE_PAIRS, 0)]
+    assert len(found[0]) == caught and found[0] == found[1]
+
+
 def test_benchmark_passages_of_the_table(spark, sf):
     """Whole items that stand in a text word by word are found, and no text without a run of 8 words of an item is."""
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
