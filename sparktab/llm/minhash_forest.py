@@ -98,8 +98,8 @@ def set_keys(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str, size: int, trees: int, depth: int) -> DataFrame:
-    """id, k1, k2 (null without words) and the labels of all trees in one binary."""
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    """id, row_key (a hash of id and text), k1, k2 (null without words) and the labels of all trees in one binary."""
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).withColumn("row_key", F.xxhash64("id", "text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -116,9 +116,14 @@ def _signed(docs: DataFrame, doc_id: str, text: str, size: int, trees: int, dept
                         label[i] = row.tobytes()
                 empty = np.ones(part.num_rows, bool)
                 empty[some] = False
-                yield pa.record_batch({"id": part["id"], "k1": pa.array(k1, mask=empty), "k2": pa.array(k2, mask=empty), "label": pa.array(label, pa.binary())})
+                yield pa.record_batch({"id": part["id"], "row_key": part["row_key"], "k1": pa.array(k1, mask=empty), "k2": pa.array(k2, mask=empty), "label": pa.array(label, pa.binary())})
 
-    return source.mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, label binary")
+    return source.mapInArrow(run, f"id {kind}, row_key bigint, k1 bigint, k2 bigint, label binary")
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """row_key and text of each row."""
+    return docs.select(F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("row_key"), F.col(text).cast("string").alias("text"))
 
 
 def _neighbours(rows: DataFrame, width: int) -> DataFrame:
@@ -210,8 +215,8 @@ def _verified(candidates: DataFrame, size: int, trees: int, depth: int, width: i
 
     def run(table: pa.Table) -> pa.Table:
         k = table["k"].to_numpy()
-        _, once = np.unique(k, return_index=True)  # a class may come with rows that repeat its id
-        table, k = table.take(pa.array(once)), k[once]
+        order = np.argsort(k)
+        table, k = table.take(pa.array(order)), k[order]
         value, first = shingle_sets(words_of(*flat(table["text"])), size)
         marks = labels(value, first, trees, depth).reshape(len(k), trees, depth)[:, :, :width].astype(np.uint64)
         prefix = np.zeros((len(k), trees), np.uint64)
@@ -242,9 +247,15 @@ def near_copies(
 ) -> DataFrame:
     """One row for each row of ``docs``: the id, ``class_id`` (smallest id of its group of near copies), ``copy_of`` (smallest id with the same
     shingles), ``n_copies`` (rows with the same shingles, itself included) and ``n_links`` (different texts that it is similar to)."""
+    out = _grouped(docs, doc_id, text, threshold, size, trees, depth, recall, block)
+    return out.select(F.col("id").alias(doc_id), "class_id", "copy_of", "n_copies", "n_links")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, threshold: float, size: int, trees: int, depth: int, recall: float, block: int) -> DataFrame:
+    """id, row_key, class_id, copy_of, n_copies, n_links and ``cluster``, a number that the rows of a group share (null without words)."""
     signed = cut_lineage(_signed(docs, doc_id, text, size, trees, depth))
     classes = signed.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(
-        F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), F.first("label").alias("label")
+        F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), F.min_by("label", "row_key").alias("label"), F.min("row_key").alias("row_key")
     ).withColumn("k", F.xxhash64("k1", "k2"))
     classes = cut_lineage(classes)
     width = 2 * matched_depth(threshold, trees, depth, recall)
@@ -254,10 +265,9 @@ def near_copies(
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     ways = F.ceil(F.col("m") / block).cast("int")
     placed = groups.join(sizes, "root").select("node", "root", ways.alias("ways"), F.pmod(F.xxhash64("node"), ways).cast("int").alias("block"))
-    placed = cut_lineage(placed.join(classes.select(F.col("k").alias("node"), "copy_of"), "node"))
+    placed = cut_lineage(placed.join(classes.select(F.col("k").alias("node"), "row_key"), "node"))
     bundles = max(1, -(-placed.count() // (2 * block)))
-    texts = docs.select(F.col(doc_id).alias("copy_of"), F.col(text).cast("string").alias("text"))
-    work = placed.join(texts, placed["copy_of"].eqNullSafe(texts["copy_of"])).select(
+    work = placed.join(_texts(docs, doc_id, text), "row_key").dropDuplicates(["node"]).select(
         F.when(F.col("ways") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bundles))).alias("g"),
         F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("other"), "root", "block", "ways", F.col("node").alias("k"), "text",
     ).select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "root", "block", "ways", "k", "text")
@@ -269,11 +279,11 @@ def near_copies(
     members = classes.select("k", "k1", "k2", "copy_of", "n_copies").join(joined.withColumnRenamed("node", "k"), "k", "left")
     least = members.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("copy_of").alias("class_id"))
     members = members.join(least, "root", "left").join(links, "k", "left").select(
-        "k1", "k2", "copy_of", "n_copies", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "k1", "k2", "copy_of", "n_copies", F.coalesce("root", "k").alias("cluster"), F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     out = signed.drop("label").join(members, ["k1", "k2"], "left")
     return out.select(
-        F.col("id").alias(doc_id), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_of", "id").alias("copy_of"),
+        "id", "row_key", "cluster", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_of", "id").alias("copy_of"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 

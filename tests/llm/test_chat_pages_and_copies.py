@@ -163,6 +163,17 @@ def test_one_of_each_group_stays(spark):
     assert minhash_forest.keep_one(frame.limit(0)).count() == 0
 
 
+def test_classes_are_verified_with_their_own_text(spark):
+    random.seed(11)
+    texts = []
+    for g in range(6):
+        own = [f"g{g}w{i}" for i in range(60)]
+        texts += [" ".join(own), " ".join([*own[:-1], "other"])]
+    for ids in ([None] * 12, [7] * 12):  # all texts share an id
+        out = minhash_forest.near_copies(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()
+        assert [(r.n_copies, r.n_links) for r in out] == [(1, 1)] * 12
+
+
 def test_dense_blocks_and_sparse_ones_agree():
     import numpy as np
     import pyarrow as pa
