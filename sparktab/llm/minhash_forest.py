@@ -288,7 +288,26 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, threshold: float, size: in
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without those whose group of near copies has a smaller id; rows with a null id stay."""
-    gone = near_copies(docs, doc_id, text, **options).where(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH,
+    recall: float = RECALL, block: int = BLOCK,
+) -> DataFrame:
+    """One row of each group of near copies: that of the smallest id, then of the smallest hash of id and text; of rows that repeat both, one.
+
+    Rows with a null id stay; rows without words are groups of their own and all stay.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"x{i}" for i in range(len(names))))
+    at_id, at_text = f"x{names.index(doc_id)}", f"x{names.index(text)}"
+    own = cut_lineage(
+        _grouped(plain, at_id, at_text, threshold, size, trees, depth, recall, block).where(F.col("cluster").isNotNull() & F.col("id").isNotNull()).select("id", "row_key", "cluster"))
+    stays = own.groupBy("cluster").agg(F.min(F.struct("id", "row_key"))["row_key"].alias("row_key"))
+    gone = own.select("row_key", "cluster").distinct().join(stays.withColumn("stays", F.lit(True)), ["cluster", "row_key"], "left").where(F.col("stays").isNull()).select("row_key")
+    left = plain.withColumn("row_key", F.xxhash64(F.col(at_id), F.col(at_text).cast("string"))).join(gone, "row_key", "left_anti")
+    again = own.groupBy("row_key").count().where("count > 1").select("row_key")  # rows that repeat id and text
+    cols = [f"x{i}" for i in range(len(names))]
+    if again.head() is None:
+        return left.select(*cols).toDF(*names)
+    left = left.join(again.withColumn("again", F.lit(True)), "row_key", "left")
+    once = left.where("again").groupBy("row_key").agg(F.first(F.struct(*cols)).alias("x")).select("x.*")
+    return left.where(F.col("again").isNull()).select(*cols).unionAll(once).toDF(*names)

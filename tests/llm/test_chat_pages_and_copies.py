@@ -163,6 +163,19 @@ def test_one_of_each_group_stays(spark):
     assert minhash_forest.keep_one(frame.limit(0)).count() == 0
 
 
+def test_repeated_rows_leave_one_that_keeps_its_words(spark):
+    import corpus_pipeline
+
+    texts = {n: " ".join(f"{n}{i}" for i in range(60)) for n in "abc"}
+    near = texts["a"].replace("a59", "z")
+    rows = [(1, texts["a"], 60), (1, texts["a"], 60), (5, near, 60), (5, texts["b"], 60), (6, texts["c"], 60), (7, None, 0), (7, None, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = corpus_pipeline.jaccard_join(spark, frame, "")
+    expected = sorted([(1, texts["a"]), (5, texts["b"]), (6, texts["c"]), (7, None), (7, None)], key=str)
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == expected
+    assert sorted([(r.doc_id, r.text) for r in corpus_pipeline.substring_dedup(spark, kept, "").collect()], key=str) == expected
+
+
 def test_classes_are_verified_with_their_own_text(spark):
     random.seed(11)
     texts = []
