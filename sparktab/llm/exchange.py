@@ -26,15 +26,35 @@ def chunk_count(n_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> int:
     return max(1, -(-n_bytes // chunk_bytes))
 
 
-def with_chunks(docs: DataFrame, doc_id: str, text: str, chunks: int) -> DataFrame:
-    """``chunk``, which follows from the id alone, ``text``, and every other column as c0, c1, ... so that no name can clash."""
+def _hashable(kind: str) -> bool:
+    return "map<" not in kind and "variant" not in kind
+
+
+def with_chunks(docs: DataFrame, doc_id: str, text: str, chunks: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``chunk``, ``text``, and every other column as c0, c1, ... so that no name can clash.
+
+    The chunk follows from id and text, so rows that share an id, or have none, are spread. Rows equal in all columns that together pass a chunk's
+    bytes are counted and dealt out again, so many to a chunk; as they are equal, a retry gives the same chunks.
+    """
     names = docs.columns
     flat = docs.toDF(*(f"x{i}" for i in range(len(names))))
+    at_id, at_text = f"x{names.index(doc_id)}", f"x{names.index(text)}"
     rest = [i for i, name in enumerate(names) if i != names.index(text)]
-    key = F.pmod(F.xxhash64(F.col(f"x{names.index(doc_id)}")), F.lit(chunks)).cast("int")
-    return flat.select(
-        key.alias("chunk"), F.col(f"x{names.index(text)}").cast("string").alias("text"), *(F.col(f"x{i}").alias(f"c{k}") for k, i in enumerate(rest))
-    )
+    shape = [F.col(at_text).cast("string").alias("text"), *(F.col(f"x{i}").alias(f"c{k}") for k, i in enumerate(rest))]
+    chunk = lambda *key: F.pmod(F.xxhash64(*key), F.lit(chunks)).cast("int").alias("chunk")
+    by_text = chunk(F.col(at_id), F.col(at_text))
+    if chunks == 1 or not all(_hashable(f.dataType.simpleString()) for f in docs.schema.fields):
+        return flat.select(by_text, *shape)
+    keyed = flat.withColumns({"k1": F.xxhash64(*flat.columns), "k2": F.xxhash64(F.lit(1), *flat.columns), "b": F.coalesce(F.octet_length(F.col(at_text).cast("string")), F.lit(0)) + 64})
+    most = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("b").cast("long").alias("b")).where(F.col("n") * F.col("b") > chunk_bytes)
+    hot = most.where("n > 1").select("k1", "k2", "n", "b").collect()  # fewer than there are chunks of text and row heads
+    if not hot:
+        return flat.select(by_text, *shape)
+    heavy = F.broadcast(docs.sparkSession.createDataFrame(hot, "k1 long, k2 long, n long, per long"))
+    light = keyed.join(heavy, ["k1", "k2"], "left_anti").select(by_text, *shape)
+    one = keyed.join(heavy, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first(F.struct(*flat.columns)).alias("x"), F.first("n").alias("n"), F.first("per").alias("per"))
+    dealt = one.select("k1", "per", "x.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    return light.unionAll(dealt.select(chunk(F.col("k1"), F.floor(F.col("i") * F.col("per") / chunk_bytes)), *shape))
 
 
 def others(docs: DataFrame, text: str) -> list[str]:

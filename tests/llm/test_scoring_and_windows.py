@@ -122,3 +122,19 @@ def test_window_query_over_the_table(spark, sf):
     for r in queries.QUERIES["op9_substring_dedup"](spark, sf).collect():
         n, removed, kept = expected[r.doc_id]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (n, removed, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_chunks_stay_bounded_for_null_ids_and_equal_rows(spark):
+    from sparktab.llm.exchange import with_chunks
+
+    texts = [f"text {i} " + "word " * 200 for i in range(300)] + ["the same " * 100] * 300
+    frame = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    chunked = with_chunks(frame, "doc_id", "text", 20, 30_000)
+    got = [tuple(r) for r in chunked.select("chunk", "text", "c0").collect()]
+    assert sorted(t for _, t, _ in got) == sorted(texts) and all(i is None for _, _, i in got)
+    sizes = {}
+    for c, t, _ in got:
+        sizes[c] = sizes.get(c, 0) + len(t)
+    assert len(sizes) > 10 and max(sizes.values()) < sum(map(len, texts)) / 4
+    again = with_chunks(frame.repartition(7), "doc_id", "text", 20, 30_000)
+    assert sorted(x[:2] for x in got) == sorted(tuple(r) for r in again.select("chunk", "text").collect())
