@@ -1,8 +1,7 @@
 """Models, selectors that need a model, search, surrogates, bundles, files and streams.
 
 Rows are all labelled documents; numbers describe the whole text and every row takes
-part.  Boosters have fewer rounds than the defaults of their family: each round is
-several Spark jobs whatever the size of the table.
+part.  Models run with the defaults of their family.
 """
 
 from pyspark.sql import functions as F
@@ -54,12 +53,11 @@ _model_query("m1_logistic_l2", "lr", {})
 _model_query("m1_logistic_l1", "lr", {"C": 0.1, "penalty": "l1"})
 _model_query("m2_kernel_svm", "svc", {})
 _model_query("m3_random_forest", "rf", {})
-_model_query("m4_boosted_xgb", "xgb", {"n_estimators": 5, "max_depth": 3, "scale_pos_weight": 0.5})
-_model_query("m5_boosted_lgbm", "lgbm", {"n_estimators": 5, "num_leaves": 8, "min_child_samples": 5})
-_model_query("m6_boosted_catboost", "catboost", {"iterations": 5, "depth": 3})
+_model_query("m4_boosted_xgb", "xgb", {"scale_pos_weight": 0.5})
+_model_query("m5_boosted_lgbm", "lgbm", {})
+_model_query("m6_boosted_catboost", "catboost", {})
 _model_query("m7_perceptron", "mlp", {})
-SMALL_STACK = {"xgb": {"n_estimators": 2, "max_depth": 2}, "lgbm": {"n_estimators": 2, "num_leaves": 4}, "lr": {"max_iter": 20}, "cv": 2, "inner_cv": 2}
-_model_query("m8_calibrated_stack", "stacker", SMALL_STACK)
+_model_query("m8_calibrated_stack", "stacker", {})
 
 
 def _names(spark, names):
@@ -203,32 +201,28 @@ def _regression(spark, sf):
     return p, enc, enc.transform(p).select("row_id", "features", "y")
 
 
-def _small_models():
-    return surrogate.regressors(100, 20)
-
-
 @query("g3_compare_regressors")
 def g3(spark, sf):
     _, _, df = _regression(spark, sf)
-    return surrogate.compare_regressors(df, "row_id", _small_models(), n_folds=3)[1]
+    return surrogate.compare_regressors(df, "row_id")[1]
 
 
 @query("g4_predicted_observed")
 def g4(spark, sf):
     _, _, df = _regression(spark, sf)
-    return surrogate.cross_predict(df, {"forest": _small_models()["forest"]}, "row_id", 3)
+    return surrogate.cross_predict(df, {"forest": surrogate.regressors()["forest"]}, "row_id")
 
 
 @query("g5_permutation_importance")
 def g5(spark, sf):
     _, enc, df = _regression(spark, sf)
-    return surrogate.permutation_importance(df, _small_models()["forest"]().fit(df), enc.names, "row_id", repeats=20)
+    return surrogate.permutation_importance(df, surrogate.regressors()["forest"]().fit(df), enc.names, "row_id", repeats=20)
 
 
 @query("g6_shapley_importance")
 def g6(spark, sf):
     _, enc, df = _regression(spark, sf)
-    return surrogate.shapley_importance(df, _small_models()["forest"]().fit(df), enc.names, "row_id", samples=2)
+    return surrogate.shapley_importance(df, surrogate.regressors()["forest"]().fit(df), enc.names, "row_id")
 
 
 @query("g6_linear_shapley", """
@@ -242,7 +236,7 @@ def g6l(spark, sf):
 @query("g7_surface_scores")
 def g7(spark, sf):
     p, enc, df = _regression(spark, sf)
-    forest = _small_models()["spread_forest"]().fit(df)
+    forest = surrogate.regressors()["spread_forest"]().fit(df)
     grid = surrogate.surface_grid(p, "size", "key", ["p_type"], ["size", "key"])
     return surrogate.tree_spread(enc.transform(grid), forest, ["ia", "ib", "size", "key"])
 
@@ -259,8 +253,8 @@ def g13(spark, sf):
         )], search.DIMENSION_SCHEMA)
     df = documents(spark, sf).drop("lang").persist()
     first = search.candidate_table(search.candidate_values(spark, 1.0, 3, {"lr": 1.0}, 7, dims)).persist()
-    folds = search.search(df, FEATURES, "label", "row_id", {r["candidate"]: search.to_config(r.asDict()) for r in first.collect()}, 2)
+    folds = search.search(df, FEATURES, "label", "row_id", {r["candidate"]: search.to_config(r.asDict()) for r in first.collect()}, 5)
     meta = surrogate.meta_table(folds, first).persist()
     cats = ["family", "imputer", "normalizer", "tamer__remediation", "selector"]
     nums = ["tamer__contamination", "tamer__mad_threshold", "classifier__C"]
-    return surrogate.optimize(df, FEATURES, "label", "row_id", meta, cats, nums, dims, 1.0, batches=1, batch_size=2, pool=20, refine=1, n_folds=2, n_trees=5)
+    return surrogate.optimize(df, FEATURES, "label", "row_id", meta, cats, nums, dims, 1.0)

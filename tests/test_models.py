@@ -163,3 +163,32 @@ def test_quota_repair(spark):
     df = spark.createDataFrame(rows, "id long, family string, selector string, balancer string, acq double")
     out = surrogate.select_with_quotas(df, "acq", 8, {"family": 0.10, "selector": 0.05, "balancer": 0.05}, "id").collect()
     assert len(out) == 8 and sum(r["family"] == "rare" for r in out) == 1 and 0 in {r["id"] for r in out}
+
+
+def test_models_are_registered_with_the_defaults(monkeypatch):
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from sparktab.plans import search, surrogate
+    from sparktab.queries import QUERIES, q_models
+
+    fit, regress, compare, cross, shapley, optimize = (MagicMock() for _ in range(6))
+    monkeypatch.setattr(q_models.models, "fit_model", fit)
+    monkeypatch.setattr(q_models, "_scaled", MagicMock())
+    monkeypatch.setattr(q_models, "documents", MagicMock())
+    monkeypatch.setattr(q_models, "F", MagicMock())
+    monkeypatch.setattr(q_models, "_regression", lambda spark, sf: (MagicMock(), MagicMock(), MagicMock()))
+    for name, fake in (("regressors", regress), ("compare_regressors", compare), ("cross_predict", cross), ("shapley_importance", shapley), ("optimize", optimize)):
+        monkeypatch.setattr(surrogate, name, fake)
+    for name in ("permutation_importance", "tree_spread", "surface_grid", "meta_table"):
+        monkeypatch.setattr(surrogate, name, MagicMock())
+    for name in ("search", "candidate_table", "candidate_values"):
+        monkeypatch.setattr(search, name, MagicMock())
+    for key in ("m4_boosted_xgb", "m5_boosted_lgbm", "m6_boosted_catboost", "m8_calibrated_stack", "g3_compare_regressors", "g4_predicted_observed",
+                "g5_permutation_importance", "g6_shapley_importance", "g7_surface_scores", "g13_next_batch"):
+        QUERIES[key](SimpleNamespace(createDataFrame=MagicMock()), "")
+    given = {c.args[3]: c.args[4] for c in fit.call_args_list}
+    assert given == {"xgb": {"scale_pos_weight": 0.5}, "lgbm": {}, "catboost": {}, "stacker": {}}
+    assert all(not c.args and not c.kwargs for c in regress.call_args_list)
+    assert len(compare.call_args.args) == 2 and len(cross.call_args.args) == 3 and "samples" not in shapley.call_args.kwargs
+    assert not {"n_folds"} & set(compare.call_args.kwargs) and not optimize.call_args.kwargs
