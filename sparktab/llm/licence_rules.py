@@ -75,7 +75,7 @@ FAMILIES = {
 }
 # Notices and addresses (fixed values): label, keyword, pattern over folded words.
 NOTICES = (
-    ("gpl", "gnu.org licenses gpl", r"gnu org licenses (?:old licenses )?gpl"), ("lgpl", "licenses lgpl", r"gnu org licenses (?:old licenses )?lgpl"),
+    ("gpl", "licenses gpl", r"gnu org licenses (?:old licenses )?gpl"), ("lgpl", "licenses lgpl", r"gnu org licenses (?:old licenses )?lgpl"),
     ("agpl", "licenses agpl", r"gnu org licenses agpl"), ("gfdl", "licenses fdl", r"gnu org licenses fdl"),
     ("gpl", "free software you can redistribute", r"this (?:program|file|library) is free software you can redistribute it and or modify it"),
     ("apache", "apache org licenses", r"apache org licenses license 2 0"), ("mit", "opensource org licenses mit", r"opensource org licenses mit"),

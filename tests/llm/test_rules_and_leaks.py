@@ -164,6 +164,28 @@ def test_signatures(text, labels, score):
     assert found[5] == labels and found[6] == pytest.approx(score)
 
 
+def test_each_alternative_contains_its_keyword():
+    def branches(pattern):
+        """Texts of all alternatives of a pattern of this module, repeats once."""
+        found = re.search(r"\(\?:([^()]*)\)(\??)|\(([^()?][^()]*)\)(\??)", pattern)
+        if found:
+            inner = (found[1] if found[1] is not None else found[3]).split("|") + ([""] if found[2] or found[4] else [])
+            return [t for x in inner for t in branches(pattern[:found.start()] + x + pattern[found.end():])]
+        letter = re.search(r"(\\d|\w| )\?", pattern)
+        if letter:
+            return branches(pattern[:letter.start()] + letter[1] + pattern[letter.end():]) + branches(pattern[:letter.start()] + pattern[letter.end():])
+        return [" ".join(pattern.replace(".{1,80}", "x").replace("\\d", "1").split())]
+
+    for _, _, keyword, pattern in licence_rules.rules():
+        for text in branches(pattern.replace(".{1,80}?", ".{1,80}")):
+            assert re.fullmatch(pattern, text) and f" {keyword} " in f" {text} ", (keyword, text)
+
+
+def test_old_licence_address():
+    seen = scanner().scan("see www.gnu.org/licenses/old-licenses/gpl-2.0.html there")
+    assert seen[5] == "gpl" and seen[6] == pytest.approx(0.95)
+
+
 def test_inner_detections_are_suppressed():
     seen = scanner().scan("x Licensed under the Apache License, Version 2.0 and the MIT License y")[7]
     assert [(d["label"], d["first"], d["last"]) for d in seen] == [("apache", 1, 8), ("mit", 11, 12)]
