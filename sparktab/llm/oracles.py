@@ -76,3 +76,24 @@ base AS (
   FROM d JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id)),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_left >= {MIN_LEFT} * n_words AS kept, n_left FROM judged"""
+
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+t AS (SELECT page_id, n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM t"""
+
+FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT *, string_split(t, chr(10)) AS l, len(t) - len(replace(t, chr(10), '')) + CASE WHEN t = '' OR suffix(t, chr(10)) THEN 0 ELSE 1 END AS n FROM d),
+k AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b FROM u),
+c AS (SELECT *,
+  CASE WHEN least(a, b) = n THEN t WHEN least(a, b) = 0 THEN '' ELSE array_to_string(l[:least(a, b)], chr(10)) || chr(10) END AS p,
+  CASE WHEN greatest(a, b) = n THEN t WHEN greatest(a, b) = 0 THEN '' ELSE array_to_string(l[:greatest(a, b)], chr(10)) || chr(10) END AS pm FROM k),
+s AS (SELECT doc_id, n, t, p, substr(pm, len(p) + 1) AS m, substr(t, len(pm) + 1) AS x,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+    WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM s"""

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, chat_events, html_cut, licence_rules, line_rules, minhash_forest, ngram_trie, oracles, template_leaks, token_files, windows
+from . import (
+    byte_bpe, chat_events, html_cut, licence_rules, line_rules, middle_blocks, minhash_forest, ngram_trie, oracles, template_leaks, token_files, token_links, warc_files,
+    windows,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +94,25 @@ def html_extraction(spark, sf_dir):
 def benchmark_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return template_leaks.leaks(docs, table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+@query("op11_warc", oracles.WARC)
+def warc(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc_files.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    records = warc_files.read_archives(spark, path).where("record_type != 'warcinfo' or problem is not null")
+    return records.select(
+        F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "problem")
+
+
+@query("op12_fill_in_middle", oracles.FILL_IN_MIDDLE)
+def fill_in_middle(spark, sf_dir):
+    moved = middle_blocks.rearranged(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return middle_blocks.restored(moved).select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+@query("op13_token_alignment")
+def token_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_links.measured(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -13,4 +13,4 @@ def test_same_rows(spark, sf, key):
 
 
 def test_every_check_has_a_query():
-    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
