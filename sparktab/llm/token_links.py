@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..session import cut_lineage
-from .byte_bpe import ByteBpe
+from .byte_bpe import ByteBpe, byte_letters
 from .exchange import chunk_count, text_bytes
 from .words import kept_in_worker
 
@@ -36,6 +36,8 @@ CHUNK_BYTES = 16 << 20
 BLOCK = 2_000_000
 #: Texts aligned together, and their bytes.
 TEXTS, TEXT_BYTES = 256, 2 << 20
+#: Words that a task remembers.
+KEPT_WORDS = 300_000
 SHARES = 10_000
 MEASURES = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 ALIGNED = "k1 bigint, k2 bigint, copies bigint, chunk int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary"
@@ -57,12 +59,49 @@ class Side:
         return self.blob[np.repeat(self.offsets[ids] - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)]
 
 
+class LibraryBpe(ByteBpe):
+    """``ByteBpe`` whose new pieces go through the library's own merges."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+
+    def encode_piece(self, raw: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))]
+
+
 def byte_side(path: str) -> Side:
     """Tokens of a byte-level vocabulary file; encodes the text with a space before it, special tokens as plain text."""
-    bpe = ByteBpe(path)
+    bpe = LibraryBpe(path)
     return Side([bpe.tokens.get(i, b"") for i in range(bpe.size)], lambda texts: [np.frombuffer(bpe._plain(" " + t), "<u4").astype(np.int64) for t in texts])
 
 
+class WordPieces:
+    """Ids of texts by a sentencepiece model, word by word where that is the same.
+
+    If no piece has the mark of a space behind another character, no merge crosses the place before a space, so words between single blanks are cut
+    independently. Distinct words are encoded once and kept, up to ``KEPT_WORDS``; other texts go to the model whole.
+    """
+
+    def __init__(self, model):
+        self.model, self.known = model, {}
+        self.by_word = not any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        simple = [self.by_word and t[:1] != " " and t[-1:] != " " and "  " not in t and "▁" not in t for t in texts]
+        words = [t.split(" ") if s else [] for t, s in zip(texts, simple)]
+        known = self.known
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        new = list({w for ws in words for w in ws if w not in known})
+        known.update(zip(new, [np.array(x, "<u4").tobytes() for x in self.model.encode(new, num_threads=1)] if new else []))
+        whole = iter(self.model.encode([t for t, s in zip(texts, simple) if not s], num_threads=1))
+        return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4").astype(np.int64) if s else np.array(next(whole), np.int64) for ws, s in zip(words, simple)]
+
+
 def piece_side(path: str) -> Side:
     """Tokens of a sentencepiece model, which puts a space before the text itself."""
     import sentencepiece
@@ -70,7 +109,7 @@ def piece_side(path: str) -> Side:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     tokens = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return Side(tokens, lambda texts: [np.array(x, np.int64) for x in model.encode(texts, num_threads=1)])
+    return Side(tokens, WordPieces(model))
 
 
 class Pair:

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -250,3 +251,28 @@ def test_links_in_small_blocks_are_the_same(monkeypatch):
     whole = token_links.aligned_texts(pair, texts)
     monkeypatch.setattr(token_links, "BLOCK", 3)
     assert token_links.aligned_texts(pair, texts) == whole
+
+
+def test_words_are_cut_as_whole_texts_are(sf, spark):
+    import random
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+    rng = random.Random(5)
+    marks = ["a", "b", "word", " ", " ", "  ", "\n", "\t", "é", "é", "ﬁ", "´", "漢", "😀", "<s>", "▁", "0", "12", "'s", "\u3000", "\xa0", ".", "\0", "\u200b"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 30))) for _ in range(20_000)]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("text != ''").select("text").collect()] + [t for t in ODD if t]
+    side = token_links.piece_side(PATHS[1])
+    assert side.encode.by_word
+    wanted = [b" " + t.encode() for t in texts]
+    got, whole = side.encode(texts), model.encode(texts, num_threads=1)
+    same = token_links.both_equal(side, got, wanted)
+    assert (same == token_links.both_equal(side, [np.array(x) for x in whole], wanted)).all() and same.sum() > 5000
+    assert all(g.tolist() == w for g, w, s in zip(got, whole, same) if s)
+
+
+def test_pieces_are_cut_as_texts_are(sf, spark):
+    library = Tokenizer.from_file(PATHS[0])
+    library.encode_special_tokens = True
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("text != ''").select("text").collect()] + [t for t in ODD if t]
+    got = token_links.byte_side(PATHS[0]).encode(texts)
+    assert [g.tolist() for g in got] == [e.ids for e in library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
