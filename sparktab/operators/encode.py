@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import calendar_parts, days_between, parse_gregorian, parse_jalali
-from .ordered import TARGET_ROWS, global_rank
+from .ordered import TARGET_ROWS, global_rank, hash_key, running_totals
 from .schema import categorical_columns, date_columns
 
 # Largest map that is written into the plan as literals; bigger maps are joined.
@@ -111,3 +111,17 @@ def to_numeric(df: DataFrame, target: str, row_id: str) -> tuple[DataFrame, Data
         empty = df.sparkSession.createDataFrame([], "column string, category string, code int")
         return expanded, empty, calendars
     return encode_categories(expanded, mapping, cols, unseen="keep"), mapping, calendars
+
+
+def ordered_target_statistics(
+    df: DataFrame, col: str, label: str, row_id: str, prior: float = 0.5, weight: float = 1.0, seed=42, name: str = "statistic", target_rows: int = TARGET_ROWS
+) -> DataFrame:
+    """Add the mean label of the rows of a category that stand before a row in digest order, drawn towards ``prior``.
+
+    A row never sees its own label or a later one, so the value can be fitted on without leaking. Missing categories are a category. Rank and
+    running total are cut into buckets, so a common category is spread over tasks.
+    """
+    ranked = global_rank(df.withColumn("_h", hash_key(seed, row_id)), "_h", "_r", by=[col], ties=[row_id], hashed=True, target_rows=target_rows).drop("_h")
+    summed = running_totals(ranked, "_r", {"_upto": label}, by=[col], target_rows=target_rows)
+    value = (F.col("_upto") - F.col(label) + F.lit(prior * weight)) / (F.col("_r") - 1 + F.lit(weight))
+    return summed.withColumn(name, value).drop("_r", "_upto")

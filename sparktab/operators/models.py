@@ -1,20 +1,20 @@
-"""Classifier families on MLlib.  Every fitted family adds a ``probability`` array column, one value per class."""
+"""Classifier families: boosted trees of :mod:`.boosting`, the rest on MLlib.  Every fitted family adds a ``probability`` array column, one value per class."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .boosting import Boosted, BoostSpec, Run, fit_boosters
 from .select import assemble
 from .split import stratified_folds, with_balanced_weight
 
@@ -25,17 +25,48 @@ DEFAULTS = {
     "lr": {"C": 1.0, "penalty": "l2", "max_iter": 1000},
     "svc": {"C": 1.0, "n_components": 200, "max_iter": 200},
     "rf": {"n_estimators": 100, "max_depth": None, "min_samples_leaf": 1, "max_features": "sqrt"},
-    "xgb": {"n_estimators": 200, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8, "colsample_bytree": 0.8,
-            "min_child_weight": 1, "gamma": 0.0, "scale_pos_weight": 1.0},
-    "lgbm": {"n_estimators": 200, "learning_rate": 0.1, "num_leaves": 31, "min_child_samples": 20, "subsample": 0.8,
-             "colsample_bytree": 0.8, "scale_pos_weight": None},
-    "catboost": {"iterations": 300, "learning_rate": 0.1, "depth": 6},
+    "xgb": {"n_estimators": 200, "learning_rate": 0.1, "max_depth": 5, "min_child_weight": 1, "subsample": 1.0, "colsample_bytree": 1.0, "reg_alpha": 0.0,
+            "reg_lambda": 1.0, "scale_pos_weight": 1.0, "gamma": 0.0},
+    "lgbm": {"n_estimators": 200, "learning_rate": 0.1, "num_leaves": 31, "min_child_samples": 20, "reg_alpha": 0.0, "reg_lambda": 0.0, "subsample": 1.0,
+             "colsample_bytree": 1.0, "scale_pos_weight": None},
+    "catboost": {"iterations": 300, "learning_rate": 0.1, "depth": 6, "l2_leaf_reg": 3.0},
     "mlp": {"hidden": (100,), "max_iter": 500},
     "stacker": {"xgb": {"n_estimators": 300, "subsample": 0.9, "colsample_bytree": 0.9},
                 "lgbm": {"n_estimators": 300, "learning_rate": 0.05}, "lr": {}, "cv": 3, "inner_cv": 5},
 }
-# Parameters with no MLlib counterpart; they are recorded and have no effect.
-IGNORED = {"xgb": ("reg_alpha", "reg_lambda"), "lgbm": ("reg_alpha", "reg_lambda"), "catboost": ("l2_leaf_reg",)}
+BOOSTED = ("xgb", "lgbm", "catboost")
+# Parameters that change nothing in the library that the family is named after, with the settings around them; they are recorded.
+IGNORED = {"lgbm": ("subsample",)}  # rows are sampled there only where a bagging frequency is set
+#: Rows of a partition while a small table is fitted again and again.
+FIT_ROWS = 50_000
+#: Fits submitted at a time.
+PARALLEL_FITS = 4
+
+
+def boost_spec(family: str, cfg: dict, seed: int = 42) -> BoostSpec:
+    """Boosting settings of a family's parameters."""
+    if family == "xgb":
+        return BoostSpec(
+            int(cfg["n_estimators"]), cfg["learning_rate"], "level", int(cfg["max_depth"]), 0, cfg["reg_alpha"], cfg["reg_lambda"], cfg["gamma"],
+            cfg["min_child_weight"], 1, cfg["subsample"], cfg["colsample_bytree"], start=0.0, seed=seed)
+    if family == "lgbm":
+        return BoostSpec(
+            int(cfg["n_estimators"]), cfg["learning_rate"], "leaf", 0, int(cfg["num_leaves"]), cfg["reg_alpha"], cfg["reg_lambda"], 0.0, 1e-3,
+            int(cfg["min_child_samples"]), 1.0, cfg["colsample_bytree"], start=None, seed=seed)
+    return BoostSpec(int(cfg["iterations"]), cfg["learning_rate"], "symmetric", int(cfg["depth"]), 0, 0.0, cfg["l2_leaf_reg"], min_hessian=0.0, start=0.0, seed=seed)
+
+
+def feature_array(features: Sequence[str]) -> Column:
+    """Feature values as doubles; a missing one is NaN."""
+    return F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for c in features))
+
+
+def _boost_weight(family: str, cfg: dict, is_second: Column, counts: dict[bool, int]) -> Column:
+    """Row weight of a boosted family; ``counts``: rows of the second class (True) and of the first."""
+    if family == "xgb" or family == "lgbm" and cfg["scale_pos_weight"] is not None:
+        return F.when(is_second, F.lit(float(cfg["scale_pos_weight"]))).otherwise(F.lit(1.0))
+    total = sum(counts.values())
+    return F.when(is_second, F.lit(total / (2 * max(counts.get(True, 0), 1)))).otherwise(F.lit(total / (2 * max(counts.get(False, 0), 1))))
 
 
 @dataclass
@@ -52,6 +83,9 @@ class FittedModel:
         """Add ``probability`` (array) next to the input columns."""
         if self.family == "stacker":
             return self.model.transform(df)
+        if self.family in BOOSTED:
+            p = df.withColumn("_p", self.model.predict(feature_array(self.features)))
+            return p.select(*df.columns, F.array(1 - F.col("_p"), F.col("_p")).alias("probability"))
         data = assemble(df, self.features, "_x")
         if self.family == "svc":
             data = data.withColumn("_z", self.extra["map"](vector_to_array("_x")))
@@ -120,23 +154,13 @@ def fit_model(df: DataFrame, features: Sequence[str], label: str, family: str, p
     else:
         if n_classes > 2:
             raise ValueError(f"{family} handles two classes, got {n_classes}")
-        if family == "xgb":
-            weight = F.when(F.col("_y") == 1, F.lit(float(cfg["scale_pos_weight"]))).otherwise(F.lit(1.0))
-            data = data.withColumn("_w", weight)
-            tree = {"maxIter": cfg["n_estimators"], "stepSize": cfg["learning_rate"], "maxDepth": min(cfg["max_depth"], DEEPEST),
-                    "subsamplingRate": cfg["subsample"], "featureSubsetStrategy": str(float(cfg["colsample_bytree"])),
-                    "minInstancesPerNode": max(1, int(cfg["min_child_weight"])), "minInfoGain": float(cfg["gamma"])}
-        elif family == "lgbm":
-            if cfg["scale_pos_weight"] is not None:
-                data = data.withColumn("_w", F.when(F.col("_y") == 1, F.lit(float(cfg["scale_pos_weight"]))).otherwise(F.lit(1.0)))
-            tree = {"maxIter": cfg["n_estimators"], "stepSize": cfg["learning_rate"],
-                    "maxDepth": max(1, math.ceil(math.log2(cfg["num_leaves"]))), "subsamplingRate": cfg["subsample"],
-                    "featureSubsetStrategy": str(float(cfg["colsample_bytree"])), "minInstancesPerNode": int(cfg["min_child_samples"])}
-        else:
-            tree = {"maxIter": cfg["iterations"], "stepSize": cfg["learning_rate"], "maxDepth": cfg["depth"]}
-        est = GBTClassifier(seed=seed, featuresCol="_x", labelCol="_y", predictionCol="_pred", weightCol="_w", **tree)
-        est = est.setProbabilityCol("_p").setRawPredictionCol("_raw")
-    train = data.select("_x", "_y", "_w").persist()
+        second = F.col("_y") == classes[-1] if n_classes == 2 else F.col("_y") == 1
+        by_class = {c == (classes[-1] if n_classes == 2 else 1.0): k for c, k in counts.items()}
+        run = Run(boost_spec(family, cfg, seed), _boost_weight(family, cfg, second, by_class))
+        rows = df.withColumn("_y", F.col(label).cast("double"))
+        model = fit_boosters(rows, feature_array(features), second.cast("double"), row_id, [run])[0]
+        return FittedModel(family, cfg, features, classes, model, extra, ignored)
+    train = data.select("_x", "_y", "_w").coalesce(max(1, -(-n // FIT_ROWS))).persist()
     try:
         model = est.fit(train)
     finally:
@@ -192,28 +216,66 @@ class CalibratedStack:
         return out.select(*df.columns, F.array(1 - total, total).alias("probability"))
 
 
+def _picked(models: Sequence[Boosted], which: Column, values: Column) -> Column:
+    """Probability by the model whose number ``which`` gives; every row meets one model."""
+    @F.pandas_udf("double")
+    def scored(number: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        for i in np.unique(number.dropna().to_numpy()).astype(int):
+            at = np.flatnonzero(number.to_numpy() == i)
+            out[at] = 1 / (1 + np.exp(-models[i].margins(np.vstack(x.iloc[at].to_numpy()).astype(np.float64))))
+        return pd.Series(out)
+
+    return scored(which, values)
+
+
+def _linear_probability(model, features: Sequence[str]) -> Column:
+    margin = F.lit(float(model.intercept))
+    for c, w in zip(features, model.coefficients.toArray().tolist()):
+        margin = margin + F.lit(w) * F.col(c).cast("double")
+    return 1 / (1 + F.exp(-margin))
+
+
 def fit_stacker(df: DataFrame, features: list[str], label: str, cfg: dict, row_id: str, seed: int) -> FittedModel:
-    """Out-of-fold probabilities of three families feed a balanced logistic fit; isotonic curves calibrate it."""
-    tagged = stratified_folds(df, label, row_id, cfg["cv"], f"{seed}:outer", "_outer").persist()
-    families = [(f, cfg.get(f, {})) for f in ("xgb", "lgbm", "lr")]
-    stacks = []
-    for held in range(cfg["cv"]):
-        train = tagged.where(F.col("_outer") != held).drop("_outer")
-        inner = stratified_folds(train, label, row_id, cfg["inner_cv"], f"{seed}:{held}", "_inner").persist()
-        meta_rows = None
-        for fold in range(cfg["inner_cv"]):
-            part = inner.where(F.col("_inner") == fold)
-            for i, (family, params) in enumerate(families):
-                base = fit_model(inner.where(F.col("_inner") != fold), features, label, family, params, row_id, seed)
-                part = base.transform(part).withColumn(f"_s{i}", F.col("probability")[1]).drop("probability")
-            rows = part.select(label, *[f"_s{i}" for i in range(len(families))])
-            meta_rows = rows if meta_rows is None else meta_rows.unionByName(rows)
-        meta = fit_model(meta_rows, [f"_s{i}" for i in range(len(families))], label, "lr", {"max_iter": 2000}, row_id, seed)
-        bases = [fit_model(train, features, label, family, params, row_id, seed) for family, params in families]
-        stack = _Stack(bases, meta, None)
+    """Out-of-fold probabilities of three families feed a balanced logistic fit; isotonic curves calibrate it.
+
+    All boosted models of all folds are fitted together, pass by pass; the linear ones by a few threads.
+    """
+    cv, inner_cv = cfg["cv"], cfg["inner_cv"]
+    second = F.col(label).cast("double") == 1
+    tagged = stratified_folds(df.select(row_id, label, *features), label, row_id, cv, f"{seed}:outer", "_outer")
+    for held in range(cv):  # rows of the held fold form a class of their own, so the others are dealt as if alone
+        own = tagged.withColumn("_c", F.when(F.col("_outer") != held, F.col(label).cast("string")))
+        tagged = stratified_folds(own, "_c", row_id, inner_cv, f"{seed}:{held}", f"_inner{held}").drop("_c")
+    tagged = tagged.persist()
+    masks = [(F.col("_outer") != held) & (F.col(f"_inner{held}") != fold) for held in range(cv) for fold in range(inner_cv)] + [F.col("_outer") != held for held in range(cv)]
+    counts = {bool(r["s"]): r for r in tagged.groupBy(second.alias("s")).agg(*(F.count(F.when(m, 1)).alias(f"n{i}") for i, m in enumerate(masks))).collect()}
+    params = {f: {**DEFAULTS[f], **cfg.get(f, {})} for f in ("xgb", "lgbm", "lr")}
+    runs = []
+    for family in ("xgb", "lgbm"):
+        for i, mask in enumerate(masks):
+            sizes = {c: int(r[f"n{i}"]) for c, r in counts.items()}
+            runs.append(Run(boost_spec(family, params[family], seed), F.when(mask, _boost_weight(family, params[family], second, sizes))))
+    fitted = fit_boosters(tagged, feature_array(features), second.cast("double"), row_id, runs)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        linear = list(pool.map(lambda m: fit_model(tagged.where(m), features, label, "lr", cfg.get("lr", {}), row_id, seed), masks))
+    n, stacks, names = len(masks), [], ["_s0", "_s1", "_s2"]
+    for held in range(cv):
+        fold = F.col(f"_inner{held}")
+        first = held * inner_cv
+        by_fold = F.lit(None).cast("double")
+        for i in range(inner_cv):
+            by_fold = F.when(fold == i, _linear_probability(linear[first + i].model, features)).otherwise(by_fold)
+        rest = tagged.where(F.col("_outer") != held)
+        meta_rows = rest.select(
+            row_id, label, _picked(fitted[first:first + inner_cv], fold, feature_array(features)).alias("_s0"),
+            _picked(fitted[n + first:n + first + inner_cv], fold, feature_array(features)).alias("_s1"), by_fold.alias("_s2"))
+        meta = fit_model(meta_rows, names, label, "lr", {"max_iter": 2000}, row_id, seed)
+        at = cv * inner_cv + held
+        bases = [FittedModel(f, params[f], features, [0.0, 1.0], m) for f, m in (("xgb", fitted[at]), ("lgbm", fitted[n + at]))]
+        stack = _Stack([*bases, linear[at]], meta, None)
         scored = stack.raw(tagged.where(F.col("_outer") == held)).withColumn("_yy", F.col(label).cast("double"))
         stack.calibrator = IsotonicRegression(featuresCol="_meta", labelCol="_yy", predictionCol="_cal").fit(scored)
         stacks.append(stack)
-        inner.unpersist()
     tagged.unpersist()
     return FittedModel("stacker", cfg, features, [0.0, 1.0], CalibratedStack(stacks))

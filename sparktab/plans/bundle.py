@@ -7,13 +7,14 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.ml.classification import (
-    GBTClassificationModel, LinearSVCModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel,
+    LinearSVCModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel,
     RandomForestClassificationModel,
 )
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import impute, models
+from ..operators.boosting import Boosted
 from ..operators.encode import encode_categories, expand_dates
 from ..operators.isolation import IsolationForest
 from ..operators.outlier import Clusters, OutlierTamer, TamerState
@@ -22,8 +23,7 @@ from ..operators.schema import align_features, sanitize_columns
 from .chain import ChainConfig, FittedChain, OrderedFill
 
 _MODELS = {
-    "lr": LogisticRegressionModel, "svc": LinearSVCModel, "rf": RandomForestClassificationModel, "xgb": GBTClassificationModel,
-    "lgbm": GBTClassificationModel, "catboost": GBTClassificationModel, "mlp": MultilayerPerceptronClassificationModel,
+    "lr": LogisticRegressionModel, "svc": LinearSVCModel, "rf": RandomForestClassificationModel, "mlp": MultilayerPerceptronClassificationModel,
 }
 
 
@@ -171,6 +171,8 @@ def _save_model(m: models.FittedModel, path: str) -> dict:
             stack.calibrator.write().overwrite().save(f"{where}/calibrator")
             info["stacks"].append({"bases": [_save_model(b, f"{where}/base{j}") for j, b in enumerate(stack.bases)],
                                    "meta": _save_model(stack.meta, f"{where}/meta")})
+    elif m.family in models.BOOSTED:
+        info["trees"] = m.model.as_dict()
     else:
         m.model.write().overwrite().save(f"{path}/model")
     return info
@@ -185,6 +187,8 @@ def _load_model(d: dict, path: str) -> models.FittedModel:
         ]
         return models.FittedModel("stacker", d["params"], d["features"], d["classes"], models.CalibratedStack(stacks))
     extra = dict(d["extra"])
+    if d["family"] in models.BOOSTED:
+        return models.FittedModel(d["family"], d["params"], d["features"], d["classes"], Boosted.from_dict(d["trees"]), extra, d["ignored"])
     if d["family"] == "svc":
         extra["map"] = models.random_features(extra["dim"], extra["n_components"], extra["gamma"], extra["seed"])
     return models.FittedModel(d["family"], d["params"], d["features"], d["classes"], _MODELS[d["family"]].load(f"{path}/model"), extra, d["ignored"])

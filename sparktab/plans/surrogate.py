@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numbers import normal_cdf, normal_pdf
+from ..operators.boosting import Boosted, BoostSpec, Run, fit_boosters
 from ..operators.metrics import regression_errors, spearman
 from ..operators.ordered import global_rank, hash_key
 from ..operators.quantiles import medians
 from ..operators.split import repeated_folds
 from ..operators.stats import modal_value
+from ..session import scratch_path
 from .chain import ChainConfig, fit_chain
 from .search import DIMENSION_SCHEMA, _scores, candidate_table, candidate_values, search, summarize_folds, to_config, operating_points
 
@@ -66,28 +71,73 @@ def fit_encoder(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str])
     return AxisEncoder({c: m if m is not None else 0.0 for c, m in meds.items()}, {c: sorted(v) for c, v in found.items()})
 
 
+@dataclass
+class BoostedModel:
+    """A fitted booster with the ``transform`` of an MLlib regressor."""
+
+    booster: Boosted
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("yhat", self.booster.predict(vector_to_array("features")))
+
+
+@dataclass
+class BoostedRegressor:
+    """Boosted trees on ``features`` and ``y``; :func:`cross_predict` fits the models of all folds in one go."""
+
+    spec: BoostSpec
+
+    def fit(self, df: DataFrame) -> BoostedModel:
+        keyed = df.select("features", "y", F.xxhash64(vector_to_array("features"), "y").alias("_key"))
+        return BoostedModel(fit_boosters(keyed, vector_to_array("features"), F.col("y"), "_key", [Run(self.spec)])[0])
+
+
 def regressors(n_trees: int = 500, n_rounds: int = 400, seed: int = 42) -> dict[str, Callable]:
     """Regressor presets compared by :func:`compare_regressors`; forests grow as deep as Spark allows."""
     cols = {"featuresCol": "features", "labelCol": "y", "predictionCol": "yhat"}
+    level = BoostSpec(n_rounds, 0.05, "level", 6, 0, 0.0, 1.0, 0.0, 1.0, 1, 0.9, 0.9, "squared", None, seed)
+    leaf = BoostSpec(n_rounds, 0.05, "leaf", 0, 31, 0.0, 0.0, 0.0, 1e-3, 5, 1.0, 1.0, "squared", None, seed)
     return {
         "forest": lambda: RandomForestRegressor(numTrees=n_trees, maxDepth=30, minInstancesPerNode=2, seed=seed, **cols),
         "spread_forest": lambda: RandomForestRegressor(numTrees=n_trees, maxDepth=30, minInstancesPerNode=2, bootstrap=False, featureSubsetStrategy="onethird", seed=seed, **cols),
-        "boosted": lambda: GBTRegressor(maxIter=n_rounds, stepSize=0.05, maxDepth=6, seed=seed, **cols),
-        "boosted_wide": lambda: GBTRegressor(maxIter=n_rounds, stepSize=0.05, maxDepth=6, minInstancesPerNode=5, seed=seed, **cols),
+        "boosted": lambda: BoostedRegressor(level),
+        "boosted_wide": lambda: BoostedRegressor(leaf),
     }
 
 
+#: Rows of a partition while forests are fitted, and forests fitted at a time.
+FIT_ROWS, PARALLEL_FITS = 50_000, 6
+
+
 def cross_predict(df: DataFrame, models: Mapping[str, Callable], row_id: str, n_folds: int = 5, seed=42) -> DataFrame:
-    """``(model, fold, row_id, y, yhat)`` from an encoded table (``features``, ``y``)."""
+    """``(model, fold, row_id, y, yhat)`` from an encoded table (``features``, ``y``).
+
+    Boosted models of all folds share their passes; other fits are submitted by a bounded number of threads.
+    """
     keyed = df.withColumn("_h", hash_key(seed, row_id))
     tagged = global_rank(keyed, "_h", "_r", ties=[row_id], hashed=True).withColumn("fold", ((F.col("_r") - 1) % n_folds).cast("int"))
     tagged = tagged.select(row_id, "features", "y", "fold").persist()
+    parts = max(1, -(-tagged.count() // FIT_ROWS))
+    made = {name: make() for name, make in models.items()}
+    boosted = [name for name, m in made.items() if isinstance(m, BoostedRegressor)]
+    runs = [Run(made[name].spec, (F.col("fold") != fold).cast("double")) for name in boosted for fold in range(n_folds)]
+    fitted = fit_boosters(tagged, vector_to_array("features"), F.col("y"), row_id, runs) if runs else []
+    done = {(name, fold): BoostedModel(fitted[i * n_folds + fold]) for i, name in enumerate(boosted) for fold in range(n_folds)}
+    work = [(name, fold) for name in made if name not in boosted for fold in range(n_folds)]
+
+    def one(w):
+        train = tagged.where(F.col("fold") != w[1]).coalesce(parts).persist()
+        try:
+            return models[w[0]]().fit(train)
+        finally:
+            train.unpersist()
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        done |= zip(work, pool.map(one, work))
     out = None
-    for name, make in models.items():
-        for fold in range(n_folds):
-            model = make().fit(tagged.where(F.col("fold") != fold))
-            part = model.transform(tagged.where(F.col("fold") == fold)).select(F.lit(name).alias("model"), "fold", row_id, "y", "yhat")
-            out = part if out is None else out.unionByName(part)
+    for (name, fold), model in done.items():
+        part = model.transform(tagged.where(F.col("fold") == fold)).select(F.lit(name).alias("model"), "fold", row_id, "y", "yhat")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -204,14 +254,66 @@ def category_spread(df: DataFrame, cat_cols: Sequence[str], score: str) -> DataF
 # ---- acquisition ------------------------------------------------------------------------------
 
 
+@dataclass
+class PackedForest:
+    """All trees of a forest as arrays one behind the other; ``root`` has the place of each tree's first node."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    root: np.ndarray
+
+    def each(self, x: np.ndarray) -> np.ndarray:
+        """Predictions, rows x trees."""
+        at = np.tile(self.root, (len(x), 1))
+        row = np.arange(len(x))[:, None]
+        while True:
+            feature = self.feature[at]
+            inner = feature >= 0
+            if not inner.any():
+                return self.value[at]
+            goes_left = x[row, np.maximum(feature, 0)] <= self.cut[at]
+            at = np.where(inner, np.where(goes_left, self.left[at], self.right[at]), at)
+
+
+def pack_forest(spark, forest) -> PackedForest:
+    """The nodes of an MLlib forest, read from its saved form; their number is that of the model, not of any table."""
+    path = scratch_path(spark, "forest")
+    forest.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"), (F.col("nodeData.split.numCategories") >= 0).alias("by_set")).toPandas()
+    nodes = nodes.sort_values(["treeID", "id"], ignore_index=True)
+    inner = (nodes["leftChild"] >= 0).to_numpy()
+    if (nodes["by_set"].to_numpy() & inner).any():
+        raise ValueError("splits by sets of categories are not packed")
+    root = np.flatnonzero(nodes["id"].to_numpy() == 0)
+    first = np.repeat(root, np.diff(np.append(root, len(nodes))))
+    place = lambda c: np.where(inner, first + nodes[c].to_numpy(), 0)
+    return PackedForest(
+        np.where(inner, nodes["feature"].to_numpy(), -1), nodes["cut"].to_numpy(), place("leftChild"), place("rightChild"), nodes["prediction"].to_numpy(), root)
+
+
+#: Cells (rows x trees) scored at a time.
+SPREAD_CELLS = 2_000_000
+
+
 def tree_spread(df: DataFrame, forest, keep: Sequence[str]) -> DataFrame:
-    """Mean and population deviation over the trees of a forest, row by row."""
-    out = df
-    trees = forest.trees
-    for i, tree in enumerate(trees):
-        out = tree.setPredictionCol(f"_t{i}").transform(out)
-    each = F.array(*[F.col(f"_t{i}") for i in range(len(trees))])
-    return spread_of(out.withColumn("_each", each), "_each").select(*keep, "mu", "sigma")
+    """Mean and population deviation over the trees of a forest, row by row, in one pass over the packed trees."""
+    packed = forest if isinstance(forest, PackedForest) else pack_forest(df.sparkSession, forest)
+
+    @F.pandas_udf("mu double, sigma double")
+    def spread(x: pd.Series) -> pd.DataFrame:
+        step, parts = max(1, SPREAD_CELLS // len(packed.root)), []
+        for low in range(0, len(x), step):
+            each = packed.each(np.vstack(x.iloc[low:low + step].to_numpy()))
+            parts.append(np.stack([each.mean(axis=1), each.std(axis=1)], axis=1))
+        out = np.concatenate(parts) if parts else np.zeros((0, 2))
+        return pd.DataFrame({"mu": out[:, 0], "sigma": out[:, 1]})
+
+    return df.withColumn("_spread", spread(vector_to_array("features"))).select(*keep, F.col("_spread.mu").alias("mu"), F.col("_spread.sigma").alias("sigma"))
 
 
 def spread_of(df: DataFrame, values: str) -> DataFrame:
@@ -332,13 +434,18 @@ def stability_scores(df: DataFrame, features: Sequence[str], label: str, row_id:
                      n_folds: int = 5, n_repeats: int = 3, seed: int = 42) -> DataFrame:
     """``(candidate, repeat, fold, row_id, label, score)`` over repeated stratified folds."""
     tagged = repeated_folds(df.select(row_id, label, *features), label, row_id, n_folds, n_repeats, seed).persist()
-    out = None
-    for name, config in configs.items():
-        for repeat in range(n_repeats):
-            for fold in range(n_folds):
-                part = _scores(tagged, list(features), label, row_id, config, f"fold_{repeat}", fold, seed).select(
-                    F.lit(name).alias("candidate"), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), row_id, "label", "score")
-                out = part if out is None else out.unionByName(part)
+    work = [(name, repeat, fold) for name in configs for repeat in range(n_repeats) for fold in range(n_folds)]
+
+    def one(w):
+        name, repeat, fold = w
+        return _scores(tagged, list(features), label, row_id, configs[name], f"fold_{repeat}", fold, seed).select(
+            F.lit(name).alias("candidate"), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), row_id, "label", "score")
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        parts = list(pool.map(one, work))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

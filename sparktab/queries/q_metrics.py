@@ -280,13 +280,12 @@ def g10(spark, sf):
 
 
 @query("g12_trust_region", with_(FOLDS, CANDIDATES) + """
-, b AS (SELECT rate, depth FROM mt WHERE rate > 0 AND depth > 0 ORDER BY uas DESC, candidate LIMIT 1),
+, b AS (SELECT rate, depth FROM mt ORDER BY uas DESC, candidate LIMIT 1),
 d AS (SELECT 'rate' AS name, 'lin' AS kind, 0.0::DOUBLE AS lo, 1.6::DOUBLE AS hi, rate AS v FROM b UNION ALL SELECT 'depth', 'log', 0.5, 20.0, depth FROM b UNION ALL SELECT 'size', 'int', 1, 9, NULL FROM b)
-SELECT name, kind, round(CASE kind WHEN 'lin' THEN greatest(lo, v - 0.2 * (hi - lo)) WHEN 'log' THEN greatest(lo, exp(ln(v) - 0.2 * (ln(hi) - ln(lo)))) ELSE lo END, 6) AS lo,
-  round(CASE kind WHEN 'lin' THEN least(hi, v + 0.2 * (hi - lo)) WHEN 'log' THEN least(hi, exp(ln(v) + 0.2 * (ln(hi) - ln(lo)))) ELSE hi END, 6) AS hi FROM d""")
+SELECT name, kind, round(CASE kind WHEN 'lin' THEN greatest(lo, v - 0.2 * (hi - lo)) WHEN 'log' THEN greatest(lo, CASE WHEN v > 0 THEN exp(ln(v) - 0.2 * (ln(hi) - ln(lo))) END) ELSE lo END, 6) AS lo,
+  round(CASE kind WHEN 'lin' THEN least(hi, v + 0.2 * (hi - lo)) WHEN 'log' THEN least(hi, CASE WHEN v > 0 THEN exp(ln(v) + 0.2 * (ln(hi) - ln(lo))) END) ELSE hi END, 6) AS hi FROM d""")
 def g12(spark, sf):
-    meta = _meta(spark, sf).where("rate > 0 and depth > 0")
-    best = surrogate.top_survivors(meta, 1).first().asDict()
+    best = surrogate.top_survivors(_meta(spark, sf), 1).first().asDict()  # an axis without a value, or a log axis at zero, keeps its bounds
     dims = spark.createDataFrame([(best["family"], "rate", "lin", 0.0, 1.6, None, None), (best["family"], "depth", "log", 0.5, 20.0, None, None),
                                   (best["family"], "size", "int", 1.0, 9.0, None, None)], search.DIMENSION_SCHEMA)
     return round_all(surrogate.trust_region(dims, {**best, "size": None}).select("name", "kind", "lo", "hi"))

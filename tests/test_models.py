@@ -45,8 +45,9 @@ def test_family_separates_and_reloads(spark, separable, tmp_path, family):
     assert key(again) == key(scored)
 
 
-def test_parameters_without_counterpart_are_recorded(separable):
-    assert models.fit_model(separable, ["a"], "label", "catboost", SMALL["catboost"]).ignored == {"l2_leaf_reg": 3.0}
+def test_parameters_without_effect_are_recorded(separable):
+    assert models.fit_model(separable, ["a"], "label", "lgbm", {**SMALL["lgbm"], "subsample": 0.5}).ignored == {"subsample": 0.5}
+    assert models.fit_model(separable, ["a"], "label", "catboost", SMALL["catboost"]).ignored == {}
     with pytest.raises(ValueError):
         models.fit_model(separable, ["a"], "label", "other")
 
