@@ -15,6 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .boosting import Boosted, BoostSpec, Run, fit_boosters
+from .kernel_machine import KernelMachine, fit_machines
 from .select import assemble
 from .split import stratified_folds, with_balanced_weight
 
@@ -23,7 +24,7 @@ DEEPEST = 30  # Fixed value: MLlib trees stop at this depth.
 # Default parameters of each family.
 DEFAULTS = {
     "lr": {"C": 1.0, "penalty": "l2", "max_iter": 1000},
-    "svc": {"C": 1.0, "n_components": 200, "max_iter": 200},
+    "svc": {"C": 1.0, "n_components": None, "max_iter": 200},
     "rf": {"n_estimators": 100, "max_depth": None, "min_samples_leaf": 1, "max_features": "sqrt"},
     "xgb": {"n_estimators": 200, "learning_rate": 0.1, "max_depth": 5, "min_child_weight": 1, "subsample": 1.0, "colsample_bytree": 1.0, "reg_alpha": 0.0,
             "reg_lambda": 1.0, "scale_pos_weight": 1.0, "gamma": 0.0},
@@ -86,6 +87,9 @@ class FittedModel:
         if self.family in BOOSTED:
             p = df.withColumn("_p", self.model.predict(feature_array(self.features)))
             return p.select(*df.columns, F.array(1 - F.col("_p"), F.col("_p")).alias("probability"))
+        if isinstance(self.model, KernelMachine):
+            p = assemble(df, self.features, "_x").withColumn("_p", self.model.probability(vector_to_array("_x")))
+            return p.select(*df.columns, F.array(1 - F.col("_p"), F.col("_p")).alias("probability"))
         data = assemble(df, self.features, "_x")
         if self.family == "svc":
             data = data.withColumn("_z", self.extra["map"](vector_to_array("_x")))
@@ -143,6 +147,8 @@ def fit_model(df: DataFrame, features: Sequence[str], label: str, family: str, p
             maxIter=cfg["max_iter"], standardization=False, **_outputs("_w"),
         )
     elif family == "svc":
+        if cfg["n_components"] is None:
+            return FittedModel(family, cfg, features, classes, _fit_kernel(data, features, cfg, classes, row_id, seed)[0], extra, ignored)
         return _fit_svc(data, features, cfg, classes, n, seed, ignored)
     elif family == "rf":
         est = RandomForestClassifier(
@@ -168,6 +174,32 @@ def fit_model(df: DataFrame, features: Sequence[str], label: str, family: str, p
     return FittedModel(family, cfg, features, classes, model, extra, ignored)
 
 
+#: Folds whose margins give the probability curve of a kernel machine.
+CURVE_FOLDS = 5
+
+
+def _fit_kernel(data: DataFrame, features, cfg, classes, row_id: str, seed: int) -> tuple[KernelMachine, DataFrame]:
+    """The machine on all rows, with a logistic curve over the margins of machines that didn't see the row; and the multipliers of its dual."""
+    xs = vector_to_array("_x")
+    flat = data.select(F.explode(xs).alias("v")).agg(F.var_pop("v")).first()[0]
+    gamma = 1.0 / (len(features) * (flat or 1.0))
+    tagged = stratified_folds(data.select(row_id, "_x", "_y", "_w"), "_y", row_id, CURVE_FOLDS, f"{seed}:curve", "_fold").persist()
+    top = F.lit(float(cfg["C"])) * F.col("_w")
+    tops = [top, *(F.when(F.col("_fold") != k, top) for k in range(CURVE_FOLDS))]
+    try:
+        machines, duals = fit_machines(tagged, xs, F.col("_y") == classes[-1], F.xxhash64(row_id), tops, gamma)
+        own = F.lit(None).cast("double")
+        for k in range(CURVE_FOLDS):
+            own = F.when(F.col("_fold") == k, machines[k + 1].margin(xs)).otherwise(own)
+        margins = tagged.select((F.col("_y") == classes[-1]).cast("double").alias("_y"), own.alias("_m"))
+        curve = LogisticRegression(featuresCol="_mv", labelCol="_y").fit(margins.select("_y", array_to_vector(F.array("_m")).alias("_mv")))
+    finally:
+        tagged.unpersist()
+    machine = machines[0]
+    machine.slope, machine.shift = float(curve.coefficients[0]), float(curve.intercept)
+    return machine, duals[0]
+
+
 def _fit_svc(data, features, cfg, classes, n, seed, ignored) -> FittedModel:
     """Random Fourier features, a linear machine, and a one-feature logistic fit of the margin."""
     xs = vector_to_array("_x")

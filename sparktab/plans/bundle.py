@@ -17,6 +17,7 @@ from ..operators import impute, models
 from ..operators.boosting import Boosted
 from ..operators.encode import encode_categories, expand_dates
 from ..operators.isolation import IsolationForest
+from ..operators.kernel_machine import KernelMachine
 from ..operators.outlier import Clusters, OutlierTamer, TamerState
 from ..operators.scale import LinearScale, PowerScale
 from ..operators.schema import align_features, sanitize_columns
@@ -173,6 +174,8 @@ def _save_model(m: models.FittedModel, path: str) -> dict:
                                    "meta": _save_model(stack.meta, f"{where}/meta")})
     elif m.family in models.BOOSTED:
         info["trees"] = m.model.as_dict()
+    elif isinstance(m.model, KernelMachine):
+        info["machine"] = m.model.as_dict()
     else:
         m.model.write().overwrite().save(f"{path}/model")
     return info
@@ -189,6 +192,8 @@ def _load_model(d: dict, path: str) -> models.FittedModel:
     extra = dict(d["extra"])
     if d["family"] in models.BOOSTED:
         return models.FittedModel(d["family"], d["params"], d["features"], d["classes"], Boosted.from_dict(d["trees"]), extra, d["ignored"])
+    if "machine" in d:
+        return models.FittedModel(d["family"], d["params"], d["features"], d["classes"], KernelMachine.from_dict(d["machine"]), extra, d["ignored"])
     if d["family"] == "svc":
         extra["map"] = models.random_features(extra["dim"], extra["n_components"], extra["gamma"], extra["seed"])
     return models.FittedModel(d["family"], d["params"], d["features"], d["classes"], _MODELS[d["family"]].load(f"{path}/model"), extra, d["ignored"])
