@@ -256,7 +256,10 @@ def category_spread(df: DataFrame, cat_cols: Sequence[str], score: str) -> DataF
 
 @dataclass
 class PackedForest:
-    """All trees of a forest as arrays one behind the other; ``root`` has the place of each tree's first node."""
+    """All trees of a forest as arrays one behind the other; ``root`` has the place of each tree's first node, ``cover`` the training rows of a node.
+
+    A prediction is the mean of the trees (``averaged``), or their sum, and ``base``.
+    """
 
     feature: np.ndarray
     cut: np.ndarray
@@ -264,6 +267,9 @@ class PackedForest:
     right: np.ndarray
     value: np.ndarray
     root: np.ndarray
+    cover: np.ndarray
+    averaged: bool = True
+    base: float = 0.0
 
     def each(self, x: np.ndarray) -> np.ndarray:
         """Predictions, rows x trees."""
@@ -283,7 +289,7 @@ def pack_forest(spark, forest) -> PackedForest:
     path = scratch_path(spark, "forest")
     forest.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild", "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),
         F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"), (F.col("nodeData.split.numCategories") >= 0).alias("by_set")).toPandas()
     nodes = nodes.sort_values(["treeID", "id"], ignore_index=True)
     inner = (nodes["leftChild"] >= 0).to_numpy()
@@ -293,7 +299,18 @@ def pack_forest(spark, forest) -> PackedForest:
     first = np.repeat(root, np.diff(np.append(root, len(nodes))))
     place = lambda c: np.where(inner, first + nodes[c].to_numpy(), 0)
     return PackedForest(
-        np.where(inner, nodes["feature"].to_numpy(), -1), nodes["cut"].to_numpy(), place("leftChild"), place("rightChild"), nodes["prediction"].to_numpy(), root)
+        np.where(inner, nodes["feature"].to_numpy(), -1), nodes["cut"].to_numpy(), place("leftChild"), place("rightChild"), nodes["prediction"].to_numpy(), root,
+        nodes["rawCount"].to_numpy().astype(float))
+
+
+def pack_boosted(model: Boosted) -> PackedForest:
+    """The trees of a booster; its scores are sums, nodes weigh by their hessian."""
+    if not model.trees:
+        raise ValueError("a model without trees has nothing to pack")
+    first = np.cumsum([0, *(len(t.feature) for t in model.trees[:-1])])
+    join = lambda name: np.concatenate([np.array(getattr(t, name)) for t in model.trees])
+    child = lambda name: np.concatenate([np.maximum(np.array(getattr(t, name)), 0) + f for t, f in zip(model.trees, first)])
+    return PackedForest(join("feature"), join("cut"), child("left"), child("right"), join("value"), first, join("hess"), False, model.start)
 
 
 #: Cells (rows x trees) scored at a time.

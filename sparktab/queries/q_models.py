@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models, select
 from ..operators.split import stratified_holdout
-from ..plans import search, surrogate
+from ..plans import search, shapley, surrogate
 from ..plans.bundle import Bundle, RawPreprocessor, decide, load_bundle, save_bundle, scoring_report
 from ..plans.chain import ChainConfig, fit_chain
 from ..session import scratch_path
@@ -222,7 +222,8 @@ def g5(spark, sf):
 @query("g6_shapley_importance")
 def g6(spark, sf):
     _, enc, df = _regression(spark, sf)
-    return surrogate.shapley_importance(df, surrogate.regressors()["forest"]().fit(df), enc.names, "row_id")
+    forest = surrogate.pack_forest(spark, surrogate.regressors()["forest"]().fit(df))
+    return shapley.shapley_ranking(df, forest, enc.names, "row_id")
 
 
 @query("g6_linear_shapley", """

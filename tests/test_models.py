@@ -173,14 +173,15 @@ def test_models_are_registered_with_the_defaults(monkeypatch):
     from sparktab.plans import search, surrogate
     from sparktab.queries import QUERIES, q_models
 
-    fit, regress, compare, cross, shapley, optimize = (MagicMock() for _ in range(6))
+    fit, regress, compare, cross, ranking, optimize = (MagicMock() for _ in range(6))
     monkeypatch.setattr(q_models.models, "fit_model", fit)
     monkeypatch.setattr(q_models, "_scaled", MagicMock())
     monkeypatch.setattr(q_models, "documents", MagicMock())
     monkeypatch.setattr(q_models, "F", MagicMock())
     monkeypatch.setattr(q_models, "_regression", lambda spark, sf: (MagicMock(), MagicMock(), MagicMock()))
-    for name, fake in (("regressors", regress), ("compare_regressors", compare), ("cross_predict", cross), ("shapley_importance", shapley), ("optimize", optimize)):
+    for name, fake in (("regressors", regress), ("compare_regressors", compare), ("cross_predict", cross), ("pack_forest", MagicMock()), ("optimize", optimize)):
         monkeypatch.setattr(surrogate, name, fake)
+    monkeypatch.setattr(q_models.shapley, "shapley_ranking", ranking)
     for name in ("permutation_importance", "tree_spread", "surface_grid", "meta_table"):
         monkeypatch.setattr(surrogate, name, MagicMock())
     for name in ("search", "candidate_table", "candidate_values"):
@@ -191,5 +192,5 @@ def test_models_are_registered_with_the_defaults(monkeypatch):
     given = {c.args[3]: c.args[4] for c in fit.call_args_list}
     assert given == {"xgb": {"scale_pos_weight": 0.5}, "lgbm": {}, "catboost": {}, "stacker": {}}
     assert all(not c.args and not c.kwargs for c in regress.call_args_list)
-    assert len(compare.call_args.args) == 2 and len(cross.call_args.args) == 3 and "samples" not in shapley.call_args.kwargs
+    assert len(compare.call_args.args) == 2 and len(cross.call_args.args) == 3 and not ranking.call_args.kwargs
     assert not {"n_folds"} & set(compare.call_args.kwargs) and not optimize.call_args.kwargs
