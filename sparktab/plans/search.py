@@ -175,6 +175,8 @@ def to_config(row: Mapping) -> ChainConfig:
 
 # ---- evaluation -------------------------------------------------------------------------------
 
+#: Rows of a partition while a table is fitted again and again.
+FIT_ROWS = 50_000
 FOLD_SCHEMA = "candidate string, repeat int, fold int, pr_auc double, roc_auc double, fit_error string"
 
 
@@ -198,10 +200,11 @@ def evaluate_fold(df, features, label, row_id, name, config, fold_col, fold, rep
 
 
 def search(df: DataFrame, features: Sequence[str], label: str, row_id: str, configs: Mapping[str, ChainConfig], n_folds: int = 5,
-           seed: int = 42, parallel: int = 4) -> DataFrame:
+           seed: int = 42, parallel: int = 8) -> DataFrame:
     """Fold metrics of every candidate.  Folds are dealt once; a bounded number of threads submit the fits."""
     spark = df.sparkSession
-    tagged = stratified_folds(df.select(row_id, label, *features), label, row_id, n_folds, seed).persist()
+    tagged = stratified_folds(df.select(row_id, label, *features), label, row_id, n_folds, seed)
+    tagged = tagged.coalesce(max(1, -(-df.count() // FIT_ROWS))).persist()  # a fit makes many passes over few rows
     try:
         work = [(name, config, fold) for name, config in configs.items() for fold in range(n_folds)]
         with ThreadPoolExecutor(parallel) as pool:
