@@ -109,12 +109,10 @@ ev AS (SELECT nm.name, nm.norm, co.concept_id,
 
 
 @query("c7_evidence", with_(ONTOLOGY, COLUMNS, EVIDENCE) + """
-SELECT ev.name, dtype::DOUBLE AS dtype, "range"::DOUBLE AS "range", value::DOUBLE AS value, pattern::DOUBLE AS pattern FROM ev JOIN nm ON nm.name = ev.name AND nm.noun = ev.concept_id""")
+SELECT name, concept_id, dtype::DOUBLE AS dtype, "range"::DOUBLE AS "range", value::DOUBLE AS value, pattern::DOUBLE AS pattern FROM ev""")
 def c7(spark, sf):
-    concepts = semantic.with_concept_keys(_ontology(spark, sf)[0]).select("concept_id", *semantic.CONCEPT_KEYS)
-    joined = semantic.with_profile_keys(_profiles(spark, sf)).join(concepts, F.col("noun") == F.col("concept_id"))
-    found = semantic.evidence_scores(lambda f: F.col(f), lambda f: F.col(f))
-    return joined.select("name", *[c.cast("double").alias(k) for k, c in found.items()])
+    found = semantic.evidence_of_all_pairs(_profiles(spark, sf), _ontology(spark, sf)[0])
+    return found.select("name", "concept_id", *[F.col(c).cast("double").alias(c) for c in ("dtype", "range", "value", "pattern")])
 
 
 RANKED = """
