@@ -14,12 +14,14 @@ of the item has stands for one value in the text, so a question with other numbe
 not. Names are compared inside one alignment, where their number of words agrees; numbers and units across the sum; if these disagree, the
 best alignment counts alone. Plain windows that cover ``min_cover`` of an item are a leak whatever the slots beside them.
 
-Items of fewer words than a window are matched by one window of their length. Items of fewer than ``MIN_WORDS`` words match nothing; windows of
-which less than half the words are literal match word by word only. Items with equal templates (placeholders, sentence starts and places of
+Items of fewer words than a window are matched by one window of their length. Items of fewer than ``MIN_WORDS`` words, and windows of which less
+than half the words are literal, match word by word only. Items with equal templates (placeholders, sentence starts and places of
 equal values) are one; the smallest id stands for them, ``n_items`` counts them.
 
 A text's window is hashed only if each pair of neighbouring lower-case words in it stands in the benchmark: such words are literal in every reading.
-The pairs are literals up to ``GATE_PAIRS`` counted ones; beyond that all windows are hashed, with the same result.
+The pairs are literals up to ``GATE_PAIRS`` counted ones; beyond that all windows are hashed, with the same result. Template and plain words of a text
+come out of one pass in which placeholders stand around the words they replace. Steps on the few rows that are left are dealt out by counted
+rows, since each row is dear.
 
 The benchmark's windows are broadcast only if they number at most ``BROADCAST_WINDOWS`` (40 bytes each), else both sides are shuffled by the
 hash. Null and empty texts have no windows. Rows that repeat id and text give one result. Empty tables give an empty result. Other columns
@@ -39,6 +41,8 @@ MIN_COVER = 0.5
 DRIFT = 16
 #: Pairs of the benchmark's neighbouring words that are held as literals.
 GATE_PAIRS = 100_000
+#: Rows of a task where each row is worth milliseconds.
+DEAR_ROWS = 500
 BROADCAST_WINDOWS = 500_000
 
 # Units of measure (fixed values), as they stand after a number.
@@ -60,16 +64,37 @@ NAME = r"(?<![\p{L}\p{M}\p{N}'’-])\p{Lu}[\p{L}\p{M}'’-]*"
 INNER_NAME = r"\p{Lu}(?<=[^\s.!?:;|][ \t]{1,4}\p{Lu})[\p{L}\p{M}'’-]*"
 
 
+NUMBER = r"\p{Nd}[\p{Nd}]*(?:[.,:/]\p{Nd}+)*(?:(?:st|nd|rd|th)(?![\p{L}\p{M}]))?"
+
+
 def template(text: Column, name: str = NAME) -> Column:
     """``plain`` with placeholders: as many words, each in its place."""
     named = F.regexp_replace(text, name, "\x01M")
-    counted = F.regexp_replace(named, r"\p{Nd}[\p{Nd}]*(?:[.,:/]\p{Nd}+)*(?:(?:st|nd|rd|th)(?![\p{L}\p{M}]))?", "\x01N")
+    counted = F.regexp_replace(named, NUMBER, "\x01N")
     return plain(F.regexp_replace(counted, rf"(\x01N[ \t]{{0,2}})(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}\p{{N}}])", "$1\x01U"))
 
 
+def marked_words(text: Column) -> Column:
+    """Plain words with the parts that ``template`` replaces between a placeholder and a closing sign."""
+    named = F.regexp_replace(text, NAME, "\x01M$0\x02")
+    counted = F.regexp_replace(named, NUMBER, "\x01N$0\x03")
+    measured = F.regexp_replace(counted, rf"(\x03[ \t]{{0,2}})((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{M}}\p{{N}}])", "$1\x01U$2\x02")
+    return words(F.regexp_replace(F.lower(F.regexp_replace(measured, r"[^\p{L}\p{M}\p{N}\s\x01-\x03]+", "")), r"\s+", " "))
+
+
+def kind_of(word: Column) -> Column:
+    """The template's word of a marked one."""
+    return F.when(is_slot(word), F.regexp_replace(word, r"\x01([mnu])[^\x02\x03]*[\x02\x03]", "\x01$1")).otherwise(word)
+
+
+def plain_of(word: Column) -> Column:
+    """The plain word of a marked one."""
+    return F.when(is_slot(word), F.regexp_replace(word, r"\x01[mnu]|[\x02\x03]", "")).otherwise(word)
+
+
 def source(text: Column) -> Column:
-    """The text without the placeholders' sign."""
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), "\x01", " ")
+    """The text without the signs of placeholders."""
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), "\x01\x02\x03", " ")
 
 
 def words(text: Column) -> Column:
@@ -115,7 +140,7 @@ def asked_windows(kinds: DataFrame, items: DataFrame, size: int) -> DataFrame:
     own = own.withColumns({"h": hashed(F.col("kinds")), "p": hashed(F.col("words"))})
     none = F.lit(None).cast("bigint")
     shape = lambda rows, lane, *hashes: rows.select(*(hashes or ["hash"]), "item_key", "item_at", F.lit(size).alias("size"), lane.alias("lane"))
-    some = own.dropDuplicates(["item_key", "item_at", "kinds", "p"])
+    some = own.dropDuplicates(["item_key", "item_at", "kinds", "p"]).where(F.lit(size >= MIN_WORDS))
     exact = own.select("item_key", "item_at", "lane", joined(F.col("p"), size).alias("hash"))
     return shape(some, none, F.explode(readings(size)).alias("hash")).unionAll(shape(exact, none)).distinct().unionAll(shape(exact, F.col("lane")))
 
@@ -184,8 +209,9 @@ def small_side(rows: DataFrame, most: int) -> DataFrame:
 def item_words(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """item_id, words (plain), kinds (template) and item_key, which equal templates share."""
     rows = benchmark.select(F.col(item_id).alias("item_id"), source(F.col(text)).alias("text")).select(
-        "item_id", words(plain(F.col("text"))).alias("words"), words(template(F.col("text"))).alias("kinds"), words(template(F.col("text"), INNER_NAME)).alias("inner")
-    ).where(F.size("kinds") >= MIN_WORDS)
+        "item_id", F.transform(marked_words(F.col("text")), plain_of).alias("words"), F.transform(marked_words(F.col("text")), kind_of).alias("kinds"),
+        words(template(F.col("text"), INNER_NAME)).alias("inner"),
+    ).where(F.size("kinds") > 0)
     first = F.transform("inner", lambda w, i: F.when(is_slot(w), F.array_position("words", F.get("words", i))).otherwise(F.lit(0)))
     return rows.select("item_id", "words", "kinds", F.xxhash64("kinds", "inner", first).alias("item_key"))
 
@@ -216,36 +242,37 @@ def leaks(
     asked = cut_lineage(asked)
     n_asked = asked.count()
     texts = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key"), F.col(doc_id).alias("doc_id"), source(F.col(text)).alias("text"))
-    marked = texts.select("row_key", words(plain(F.col("text"))).alias("own"), words(template(F.col("text"))).alias("kinds"))
-    marked = gated(marked.select("row_key", "kinds", hashed(F.col("kinds")).alias("h"), hashed(F.col("own")).alias("p")), pairs_of(distinct_words, gate_pairs))
-    hits = None
-    for size in sizes or [window]:
-        found = marked.select("row_key", F.explode(text_windows(F.col("kinds"), F.col("h"), F.col("p"), F.col("open"), size)).alias("x")).select("row_key", "x.at", "x.hash")
-        side = asked.where(F.col("size") == size)
-        side = F.broadcast(side) if n_asked <= broadcast_windows else side
-        found = found.join(side, "hash").select("row_key", "item_key", "lane", (F.col("at") - F.col("item_at")).alias("shift"), "item_at")
-        hits = found if hits is None else hits.unionAll(found)
-    aligned = hits.groupBy("row_key", "item_key", "lane", "shift").agg(F.sort_array(F.collect_set("item_at")).alias("ats"))  # at most the item's words
+    marked = texts.select("row_key", marked_words(F.col("text")).alias("marked")).select("row_key", "marked", F.transform("marked", kind_of).alias("kinds"))
+    marked = marked.select("row_key", "marked", "kinds", hashed(F.col("kinds")).alias("h"))
+    own = F.transform("marked", lambda w, i: F.when(is_slot(w), F.xxhash64(plain_of(w))).otherwise(F.get("h", i)))
+    marked = gated(marked.select("row_key", "kinds", "h", own.alias("p")), pairs_of(distinct_words, gate_pairs))
+    of_size = lambda n: F.transform(text_windows(F.col("kinds"), F.col("h"), F.col("p"), F.col("open"), n), lambda x: F.struct(x["at"], x["hash"], F.lit(n).alias("size")))
+    found = marked.select("row_key", F.explode(F.concat(*map(of_size, sizes or [window]))).alias("x")).select("row_key", "x.at", "x.hash", "x.size")
+    side = F.broadcast(asked) if n_asked <= broadcast_windows else asked
+    hits = found.join(side, ["hash", "size"]).select("row_key", "item_key", "lane", (F.col("at") - F.col("item_at")).alias("shift"), "item_at")
+    aligned = cut_lineage(hits.groupBy("row_key", "item_key", "lane", "shift").agg(F.sort_array(F.collect_set("item_at")).alias("ats")))  # at most the item's words
+    tasks = max(1, -(-aligned.count() // DEAR_ROWS))
     stretch = F.array(F.floor(F.col("shift") / DRIFT) * 2, F.floor((F.col("shift") + DRIFT // 2) / DRIFT) * 2 + 1)
-    near = aligned.select("*", F.explode(stretch).alias("stretch")).groupBy("row_key", "item_key", "lane", "stretch").agg(
+    near = aligned.repartition(tasks, "row_key").select("*", F.explode(stretch).alias("stretch")).groupBy("row_key", "item_key", "lane", "stretch").agg(
         F.collect_list(F.struct("shift", "ats")).alias("parts")  # at most DRIFT
     ).join(items, "item_key")
     long = cut_lineage(near.withColumn("n_covered", covered(together(F.col("parts")))).where(F.col("n_covered") >= min_cover * F.col("n")))
+    tasks = max(1, -(-long.count() // DEAR_ROWS))
     places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: is_slot(F.get("kinds", i)) & F.exists(together(F.col("parts")), lambda a: (a <= i) & (i < a + F.col("size"))))
     keys = small_side(long.select("row_key").distinct(), broadcast_windows)
     own = texts.join(keys, "row_key", "left_semi").select("row_key", "doc_id", words(plain(F.col("text"))).alias("own")).dropDuplicates(["row_key"])
-    both = long.join(own, "row_key")
+    both = cut_lineage(long.join(own, "row_key").repartition(tasks, "row_key"))
     shape = ("row_key", "item_key", "doc_id", "item_id", "n_items", F.col("n").alias("n_words"), "n_covered")
     exact = both.where(F.col("lane").isNotNull()).select(*shape, F.size(places).alias("n_slots"), F.lit(0).alias("n_changed"))
     spots = lambda x: F.filter(
         F.sequence(F.lit(0), F.col("n") - 1), lambda i: is_slot(F.get("kinds", i)) & F.exists(x["ats"], lambda a: (a <= i) & (i < a + F.col("size"))))
     paired = F.transform("parts", lambda x: F.struct(x["shift"].alias("shift"), x["ats"].alias("ats"), F.transform(spots(x), lambda i: F.struct(
         i.alias("at"), F.get("words", i).alias("item"), F.get("own", x["shift"] + i).alias("text"), F.get("kinds", i).alias("kind"))).alias("pairs")))
-    checked = both.where(F.col("lane").isNull()).withColumn("parts", F.filter(paired, lambda x: agree(x["pairs"]))).where(F.size("parts") > 0)
+    checked = cut_lineage(both.where(F.col("lane").isNull()).withColumn("parts", F.filter(paired, lambda x: agree(x["pairs"])))).where(F.size("parts") > 0)
     numbers = F.filter(F.flatten(F.transform("parts", lambda x: x["pairs"])), lambda x: x["kind"] != "\x01m")
     alone = F.slice(F.reverse(F.array_sort(F.transform("parts", lambda x: F.struct(covered(x["ats"]).alias("c"), (-x["shift"]).alias("s"), x.alias("x"))))), 1, 1)
     checked = checked.withColumn("parts", F.when(agree(numbers), F.col("parts")).otherwise(F.transform(alone, lambda x: x["x"])))
-    checked = checked.withColumn("n_covered", covered(together(F.col("parts")))).where(F.col("n_covered") >= min_cover * F.col("n"))
+    checked = cut_lineage(checked.withColumn("n_covered", covered(together(F.col("parts")))).where(F.col("n_covered") >= min_cover * F.col("n")))
     checked = checked.withColumn("pairs", F.flatten(F.transform("parts", lambda x: x["pairs"])))
     spot = F.array_distinct(F.transform("pairs", lambda x: x["at"]))
     same = F.transform(F.filter("pairs", lambda x: x["item"].eqNullSafe(x["text"])), lambda x: x["at"])

@@ -93,7 +93,7 @@ def test_changed_numbers_and_names_are_caught_if_slots_agree(spark, most):
         (None, "Short, item: here... now!", 6), (7, "if bob", 7), (6, "a short item here now b", 8), (8, ("words of no use " * 3000) + QUESTION, 9), (10, "if\n alice   has 5 apples", 10),
     ], "doc_id long, text string, row_key int")
     got = {(r.doc_id, r.item_id): r for r in template_leaks.leaks(docs, bench, broadcast_windows=most).collect()}
-    assert got.keys() == {(1, 1), (1, 5), (2, 1), (2, 5), (6, 2), (None, 2), (8, 1), (8, 5)}
+    assert got.keys() == {(1, 1), (1, 5), (2, 1), (2, 5), (6, 2), (None, 2), (8, 1), (8, 5), (8, 3)}  # item 3 is one word, found word by word
     assert got[1, 1].n_changed == 0 and got[2, 1].n_changed == 5 and got[2, 1].n_items == 2
     left = template_leaks.remove_leaks(docs, bench, broadcast_windows=most)
     assert left.columns == docs.columns and {r.row_key for r in left.collect()} == {2, 3, 4, 7, 10}
@@ -197,3 +197,82 @@ def test_licence_table(spark):
     got = sorted((tuple(r)[:8] for r in out.collect()), key=str)
     assert got == sorted(((i, z, *base_places(t), licence_rules.Scanner().scan(t)[5]) for i, t, z in rows), key=str)
     assert licence_rules.scanned(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_marked_words_are_template_and_plain_words(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    marks = ["Tom", "ann", "3", "12.5", "kg", "5kg", " ", " ", " ", "-", "'", "’", ".", ",", "7th", "3rdx", "O'Neil", "É", "é", "İ", "σ", "x", "in", "IN", "\n", "\t", "٣", "Ⅷ", "\xa0", "(", "1/2",
+             "iPhone", "$", "\x01", "\x02", "\x03M", "漢", "\u0301", "ǅ"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    t = template_leaks
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(t.source(F.col("t")).alias("t")).select(
+        "t", t.words(t.plain(F.col("t"))).alias("plain"), t.words(t.template(F.col("t"))).alias("template"), F.transform(t.marked_words(F.col("t")), t.plain_of).alias("p"),
+        F.transform(t.marked_words(F.col("t")), t.kind_of).alias("k"))
+    bad = [r for r in rows.collect() if r["plain"] != r["p"] or r["template"] != r["k"]]
+    assert not bad, bad[:3]
+
+
+# ---- leaks against brute force
+
+VOCABULARY = ["the", "farm", "sold", "apples", "Tom", "Ann", "Bob", "3", "7", "12.5", "kg", "in", "of", "and", "river", "Oslo", "how", "many"]
+
+
+def plain_words(text):
+    return [w for w in (re.sub(r"[^\w]|_", "", x).lower() for x in text.split()) if w]
+
+
+def placed(words):
+    """Kinds of the words (M name, N number, U unit, else the word itself) as the template has them."""
+    kinds = []
+    for k, w in enumerate(words):
+        bare = re.sub(r"[^\w.]|_", "", w).rstrip(".")
+        if re.match(r"[A-Z]", bare):
+            kinds.append("M")
+        elif re.match(r"\d", bare):
+            kinds.append("N")
+        elif bare.lower() in template_leaks.UNITS and kinds and kinds[-1] == "N":
+            kinds.append("U")
+        else:
+            kinds.append(bare.lower())
+    return kinds
+
+
+def window_meets(item, text, size):
+    """Offsets at which some window of an item meets one of a text: all plain words equal, or kinds equal where names may be literal on both sides."""
+    a, b = placed(item), placed(text)
+    p, q = plain_words(" ".join(item)), plain_words(" ".join(text))
+    found = set()
+    for i in range(len(a) - size + 1):
+        for j in range(len(b) - size + 1):
+            if p[i:i + size] == q[j:j + size]:
+                found.add((i, j))
+    return found
+
+
+@given(st.lists(st.lists(st.sampled_from(VOCABULARY), min_size=1, max_size=14), min_size=1, max_size=3), st.lists(st.lists(st.sampled_from(VOCABULARY), max_size=20), min_size=1, max_size=6),
+       st.data())
+@settings(max_examples=3, deadline=None)
+def test_word_for_word_leaks_are_all_found(spark, bench, texts, data):
+    """Every text that holds the words of an item, of any length, is found; nothing is found in texts without a window of the item; the gate changes nothing."""
+    texts = [[*t, *bench[data.draw(st.integers(0, len(bench) - 1))]] if data.draw(st.booleans()) else t for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = items(spark, [(i, " ".join(b)) for i, b in enumerate(bench)])
+    runs = [template_leaks.leaks(docs, rows, gate_pairs=most).drop("row_key").collect() for most in (template_leaks.GATE_PAIRS, 0)]
+    assert sorted(map(tuple, runs[0])) == sorted(map(tuple, runs[1]))
+    got = {}
+    for r in runs[0]:
+        got.setdefault(r.doc_id, set()).add(r.item_id)
+    for d, t in enumerate(texts):
+        folded = " " + " ".join(plain_words(" ".join(t))) + " "
+        whole = [i for i, b in enumerate(bench) if " " + " ".join(plain_words(" ".join(b))) + " " in folded]
+        for i in whole:  # items of one template are one, the smallest id stands for them
+            assert any(placed(bench[k]) == placed(bench[i]) for k in got.get(d, ())), (d, i)
+        for k in got.get(d, ()):
+            size = min(len(bench[k]), template_leaks.WINDOW)
+            twins = [b for b in bench if placed(b) == placed(bench[k])]
+            literal = [x for x in placed(t) if x not in "MNU"]
+            assert any(window_meets(b, t, size) for b in twins) or len({x for x in placed(bench[k]) if x not in "MNU"} & {*literal, *plain_words(" ".join(t))}) > 0
