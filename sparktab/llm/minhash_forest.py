@@ -294,14 +294,15 @@ def keep_one(
 ) -> DataFrame:
     """One row of each group of near copies: that of the smallest id, then of the smallest hash of id and text; of rows that repeat both, one.
 
-    Rows with a null id stay; rows without words are groups of their own and all stay.
+    A null id comes after all ids: such a row goes if a copy with an id stays, and of several without an id one stays. Rows without words are groups
+    of their own and all stay.
     """
     names = docs.columns
     plain = docs.toDF(*(f"x{i}" for i in range(len(names))))
     at_id, at_text = f"x{names.index(doc_id)}", f"x{names.index(text)}"
     own = cut_lineage(
-        _grouped(plain, at_id, at_text, threshold, size, trees, depth, recall, block).where(F.col("cluster").isNotNull() & F.col("id").isNotNull()).select("id", "row_key", "cluster"))
-    stays = own.groupBy("cluster").agg(F.min(F.struct("id", "row_key"))["row_key"].alias("row_key"))
+        _grouped(plain, at_id, at_text, threshold, size, trees, depth, recall, block).where(F.col("cluster").isNotNull()).select("id", "row_key", "cluster"))
+    stays = own.groupBy("cluster").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key"))["row_key"].alias("row_key"))
     gone = own.select("row_key", "cluster").distinct().join(stays.withColumn("stays", F.lit(True)), ["cluster", "row_key"], "left").where(F.col("stays").isNull()).select("row_key")
     left = plain.withColumn("row_key", F.xxhash64(F.col(at_id), F.col(at_text).cast("string"))).join(gone, "row_key", "left_anti")
     again = own.groupBy("row_key").count().where("count > 1").select("row_key")  # rows that repeat id and text

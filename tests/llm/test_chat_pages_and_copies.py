@@ -159,7 +159,8 @@ def test_one_of_each_group_stays(spark):
     expected = {i for i, x in brute_groups(rows).items() if x[0] == i}
     frame = spark.createDataFrame([(i, t, i) for i, t in rows] + [(None, "x y", -1), (None, "x y", -2)], "doc_id long, text string, k int")
     kept = minhash_forest.keep_one(frame)
-    assert kept.columns == frame.columns and {r.k for r in kept.collect()} == expected | {-1, -2}
+    found = sorted(r.k for r in kept.collect())
+    assert kept.columns == frame.columns and found in (sorted(expected | {-1}), sorted(expected | {-2}))  # one of two rows without an id
     assert minhash_forest.keep_one(frame.limit(0)).count() == 0
 
 
@@ -169,9 +170,10 @@ def test_repeated_rows_leave_one_that_keeps_its_words(spark):
     texts = {n: " ".join(f"{n}{i}" for i in range(60)) for n in "abc"}
     near = texts["a"].replace("a59", "z")
     rows = [(1, texts["a"], 60), (1, texts["a"], 60), (5, near, 60), (5, texts["b"], 60), (6, texts["c"], 60), (7, None, 0), (7, None, 0)]
+    rows += [(None, texts["b"], 60), (None, "only " + texts["c"].replace("c", "n"), 61), (None, "only " + texts["c"].replace("c", "n"), 61), (None, near, 60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     kept = corpus_pipeline.jaccard_join(spark, frame, "")
-    expected = sorted([(1, texts["a"]), (5, texts["b"]), (6, texts["c"]), (7, None), (7, None)], key=str)
+    expected = sorted([(1, texts["a"]), (5, texts["b"]), (6, texts["c"]), (7, None), (7, None), (None, "only " + texts["c"].replace("c", "n"))], key=str)
     assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == expected
     assert sorted([(r.doc_id, r.text) for r in corpus_pipeline.substring_dedup(spark, kept, "").collect()], key=str) == expected
 
