@@ -25,7 +25,7 @@ folder every ``REFRESH * KEEP`` rounds, so no lineage grows with the rounds.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -71,10 +71,12 @@ class BoostSpec:
     seed: int = 42
 
     def __post_init__(self):
-        if self.growth not in ("level", "leaf", "symmetric") or self.loss not in ("logistic", "squared"):
+        if self.growth not in ("level", "leaf", "symmetric", "random") or self.loss not in ("logistic", "squared"):
             raise ValueError(f"unknown growth or loss: {self.growth!r}, {self.loss!r}")
         if self.rounds < 0 or self.l1 < 0 or self.l2 < 0 or not 0 < self.row_share <= 1 or not 0 < self.column_share <= 1:
             raise ValueError("rounds and penalties are not negative, shares are in (0, 1]")
+        if self.growth == "random" and self.loss != "squared":
+            raise ValueError("random growth fits numbers")
         if self.growth == "leaf" and self.num_leaves < 2 or self.growth != "leaf" and self.max_depth < 1:
             raise ValueError("leaf-wise growth needs num_leaves, other growth a depth")
 
@@ -541,8 +543,8 @@ def packed_blocks(df: DataFrame, grid: Grid, starts: list[float], parts: int):
     return df.coalesce(parts).mapInArrow(pack, "bins binary, y binary, w binary, key binary, n long").rdd.map(block)
 
 
-def one_pass(blocks, parts: int, grid: Grid, asks: list[Ask], rules: list[Rule]) -> list[list[tuple]]:
-    """Splits of the slots of every ask."""
+def one_pass(blocks, parts: int, grid: Grid, asks: list[Ask], rules: list[Rule], judge: Callable = best_splits) -> list[list[tuple]]:
+    """Splits of the slots of every ask, as ``judge`` finds them in the sums."""
     sizes, offsets = grid.sizes, grid.offsets
     cells = sum(a.n_slots for a in asks) * grid.total
     if parts <= FEW_PARTS and cells <= FEW_CELLS:
@@ -554,7 +556,7 @@ def one_pass(blocks, parts: int, grid: Grid, asks: list[Ask], rules: list[Rule])
             return [] if total is None else [total]
 
         found = blocks.mapPartitions(summed).collect()
-        return [best_splits(sum(f[i] for f in found), 0, len(sizes), sizes, rule) for i, rule in enumerate(rules)]
+        return [judge(sum(f[i] for f in found), 0, len(sizes), sizes, rule) for i, rule in enumerate(rules)]
     ranges = grid.ranges(max(1, RANGE_CELLS // sum(a.n_slots for a in asks)))
 
     def by_range(part):
@@ -567,20 +569,20 @@ def one_pass(blocks, parts: int, grid: Grid, asks: list[Ask], rules: list[Rule])
 
     def judged(pair):
         r, sums = pair
-        return [best_splits(s, *ranges[r], sizes, rule) for s, rule in zip(sums, rules)]
+        return [judge(s, *ranges[r], sizes, rule) for s, rule in zip(sums, rules)]
 
     told = blocks.mapPartitions(by_range).reduceByKey(lambda a, b: [x + y for x, y in zip(a, b)], len(ranges), lambda r: r).map(judged).collect()
     return [merged([t[i] for t in told]) for i in range(len(asks))]
 
 
-def side_by_side(blocks, growers: list[Grower], grid: Grid) -> list[list[Tree]]:
-    """The trees of models on a table of one partition: each task has the blocks and some of the models."""
+def side_by_side(blocks, growers: list[Grower], grid: Grid, judge: Callable = best_splits, which: Sequence[int] | None = None) -> list[list[Tree]]:
+    """The trees of models on a table of one partition: each task has the blocks and some of the models; ``which`` names the weights of each."""
     tasks = min(MODEL_TASKS, len(growers))
     sizes, offsets = grid.sizes, grid.offsets
 
     def dealt(block):
         for k in range(tasks):
-            own = list(range(k, len(growers), tasks))
+            own = [i if which is None else which[i] for i in range(k, len(growers), tasks)]
             yield k, {**block, "w": block["w"][own], "m": block["m"][own]}
 
     def grown(pair):
@@ -591,7 +593,7 @@ def side_by_side(blocks, growers: list[Grower], grid: Grid) -> list[list[Tree]]:
             while grower.tree is not None:
                 ask = grower.ask(place)
                 sums = sum(block_sums(b, sizes, offsets, [ask])[0] for b in own)
-                grower.told(best_splits(sums, 0, len(sizes), sizes, grower.rule()))
+                grower.told(judge(sums, 0, len(sizes), sizes, grower.rule()))
                 if len(grower.pending) >= REFRESH:
                     for b in own:
                         b["m"][place] = scored(b, sizes, place, grower.pending)

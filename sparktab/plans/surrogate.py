@@ -17,6 +17,7 @@ from ..operators.boosting import Boosted, BoostSpec, Run, fit_boosters
 from ..operators.metrics import regression_errors, spearman
 from ..operators.ordered import global_rank, hash_key
 from ..operators.quantiles import medians
+from ..operators.random_trees import fit_random_trees, random_spec
 from ..operators.split import repeated_folds
 from ..operators.stats import modal_value
 from ..session import scratch_path
@@ -83,28 +84,32 @@ class BoostedModel:
 
 @dataclass
 class BoostedRegressor:
-    """Boosted trees on ``features`` and ``y``; :func:`cross_predict` fits the models of all folds in one go."""
+    """Boosted or random trees on ``features`` and ``y``; :func:`cross_predict` fits the models of all folds in one go."""
 
     spec: BoostSpec
+    fitter: Callable = fit_boosters
 
     def fit(self, df: DataFrame) -> BoostedModel:
         keyed = df.select("features", "y", F.xxhash64(vector_to_array("features"), "y").alias("_key"))
-        return BoostedModel(fit_boosters(keyed, vector_to_array("features"), F.col("y"), "_key", [Run(self.spec)])[0])
+        return BoostedModel(self.fitter(keyed, vector_to_array("features"), F.col("y"), "_key", [Run(self.spec)])[0])
 
 
 def regressors(n_trees: int = 500, n_rounds: int = 400, seed: int = 42) -> dict[str, Callable]:
-    """Regressor presets compared by :func:`compare_regressors`; forests grow as deep as Spark allows."""
+    """Regressor presets, of which :func:`compare_regressors` takes ``COMPARED``; forests grow as deep as Spark allows."""
     cols = {"featuresCol": "features", "labelCol": "y", "predictionCol": "yhat"}
     level = BoostSpec(n_rounds, 0.05, "level", 6, 0, 0.0, 1.0, 0.0, 1.0, 1, 0.9, 0.9, "squared", None, seed)
     leaf = BoostSpec(n_rounds, 0.05, "leaf", 0, 31, 0.0, 0.0, 0.0, 1e-3, 5, 1.0, 1.0, "squared", None, seed)
     return {
         "forest": lambda: RandomForestRegressor(numTrees=n_trees, maxDepth=30, minInstancesPerNode=2, seed=seed, **cols),
         "spread_forest": lambda: RandomForestRegressor(numTrees=n_trees, maxDepth=30, minInstancesPerNode=2, bootstrap=False, featureSubsetStrategy="onethird", seed=seed, **cols),
+        "extra_trees": lambda: BoostedRegressor(random_spec(n_trees, 30, 2, seed), fit_random_trees),
         "boosted": lambda: BoostedRegressor(level),
         "boosted_wide": lambda: BoostedRegressor(leaf),
     }
 
 
+#: Presets compared unless others are given.
+COMPARED = ("forest", "extra_trees", "boosted", "boosted_wide")
 #: Rows of a partition while forests are fitted, and forests fitted at a time.
 FIT_ROWS, PARALLEL_FITS = 50_000, 6
 
@@ -112,7 +117,7 @@ FIT_ROWS, PARALLEL_FITS = 50_000, 6
 def cross_predict(df: DataFrame, models: Mapping[str, Callable], row_id: str, n_folds: int = 5, seed=42) -> DataFrame:
     """``(model, fold, row_id, y, yhat)`` from an encoded table (``features``, ``y``).
 
-    Boosted models of all folds share their passes; other fits are submitted by a bounded number of threads.
+    Boosted models, and random trees, of all folds share their passes; other fits are submitted by a bounded number of threads.
     """
     keyed = df.withColumn("_h", hash_key(seed, row_id))
     tagged = global_rank(keyed, "_h", "_r", ties=[row_id], hashed=True).withColumn("fold", ((F.col("_r") - 1) % n_folds).cast("int"))
@@ -120,9 +125,11 @@ def cross_predict(df: DataFrame, models: Mapping[str, Callable], row_id: str, n_
     parts = max(1, -(-tagged.count() // FIT_ROWS))
     made = {name: make() for name, make in models.items()}
     boosted = [name for name, m in made.items() if isinstance(m, BoostedRegressor)]
-    runs = [Run(made[name].spec, (F.col("fold") != fold).cast("double")) for name in boosted for fold in range(n_folds)]
-    fitted = fit_boosters(tagged, vector_to_array("features"), F.col("y"), row_id, runs) if runs else []
-    done = {(name, fold): BoostedModel(fitted[i * n_folds + fold]) for i, name in enumerate(boosted) for fold in range(n_folds)}
+    done = {}
+    for fitter in dict.fromkeys(made[name].fitter for name in boosted):
+        tasks = [(name, fold) for name in boosted if made[name].fitter is fitter for fold in range(n_folds)]
+        runs = [Run(made[name].spec, (F.col("fold") != fold).cast("double")) for name, fold in tasks]
+        done |= zip(tasks, map(BoostedModel, fitter(tagged, vector_to_array("features"), F.col("y"), row_id, runs)))
     work = [(name, fold) for name in made if name not in boosted for fold in range(n_folds)]
 
     def one(w):
@@ -152,7 +159,8 @@ def compare_regressors(df: DataFrame, row_id: str, models: Mapping[str, Callable
     """(best model by Spearman, scores); needs enough rows to be worth comparing."""
     if df.limit(MIN_ROWS).count() < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} rows are needed")
-    scores = score_regressors(cross_predict(df, models or regressors(), row_id, n_folds, seed)).persist()
+    chosen = models or {name: make for name, make in regressors().items() if name in COMPARED}
+    scores = score_regressors(cross_predict(df, chosen, row_id, n_folds, seed)).persist()
     best = scores.orderBy(F.col("spearman").desc(), "model").first()["model"]
     return best, scores
 
@@ -304,13 +312,16 @@ def pack_forest(spark, forest) -> PackedForest:
 
 
 def pack_boosted(model: Boosted) -> PackedForest:
-    """The trees of a booster; its scores are sums, nodes weigh by their hessian."""
+    """The trees of a booster, whose scores are sums, or of random trees, whose score is a mean; nodes weigh by their hessian."""
     if not model.trees:
         raise ValueError("a model without trees has nothing to pack")
     first = np.cumsum([0, *(len(t.feature) for t in model.trees[:-1])])
     join = lambda name: np.concatenate([np.array(getattr(t, name)) for t in model.trees])
     child = lambda name: np.concatenate([np.maximum(np.array(getattr(t, name)), 0) + f for t, f in zip(model.trees, first)])
-    return PackedForest(join("feature"), join("cut"), child("left"), child("right"), join("value"), first, join("hess"), False, model.start)
+    value, mean = join("value"), model.spec.growth == "random"
+    if mean:
+        value = value * len(model.trees) + model.start
+    return PackedForest(join("feature"), join("cut"), child("left"), child("right"), value, first, join("hess"), mean, 0.0 if mean else model.start)
 
 
 #: Cells (rows x trees) scored at a time.
@@ -319,7 +330,11 @@ SPREAD_CELLS = 2_000_000
 
 def tree_spread(df: DataFrame, forest, keep: Sequence[str]) -> DataFrame:
     """Mean and population deviation over the trees of a forest, row by row, in one pass over the packed trees."""
-    packed = forest if isinstance(forest, PackedForest) else pack_forest(df.sparkSession, forest)
+    packed = forest
+    if isinstance(forest, BoostedModel):
+        packed = pack_boosted(forest.booster)
+    elif not isinstance(forest, PackedForest):
+        packed = pack_forest(df.sparkSession, forest)
 
     @F.pandas_udf("mu double, sigma double")
     def spread(x: pd.Series) -> pd.DataFrame:
@@ -414,8 +429,7 @@ def optimize(df: DataFrame, features: Sequence[str], label: str, row_id: str, me
     for b in range(batches):
         encoder = fit_encoder(meta, cat_cols, num_cols)
         train = encoder.transform(meta).select("features", F.col(target).alias("y"))
-        forest = RandomForestRegressor(numTrees=n_trees, maxDepth=30, bootstrap=False, featureSubsetStrategy="onethird", minInstancesPerNode=2,
-                                       featuresCol="features", labelCol="y", seed=seed + b).fit(train)
+        forest = BoostedRegressor(random_spec(n_trees, 30, 2, seed + b), fit_random_trees).fit(train)
         best = meta.agg(F.max(target)).first()[0]
         fresh = _complete(candidate_table(candidate_values(spark, spw_base, pool, quotas, seed + 100 + b, dims)), cat_cols, num_cols)
         spread = tree_spread(encoder.transform(fresh), forest, fresh.columns)

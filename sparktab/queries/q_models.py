@@ -237,7 +237,7 @@ def g6l(spark, sf):
 @query("g7_surface_scores")
 def g7(spark, sf):
     p, enc, df = _regression(spark, sf)
-    forest = surrogate.regressors()["spread_forest"]().fit(df)
+    forest = surrogate.regressors()["extra_trees"]().fit(df)
     grid = surrogate.surface_grid(p, "size", "key", ["p_type"], ["size", "key"])
     return surrogate.tree_spread(enc.transform(grid), forest, ["ia", "ib", "size", "key"])
 
