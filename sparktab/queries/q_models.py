@@ -131,6 +131,14 @@ def s1(spark, sf):
     return tables.read_any(spark, path)
 
 
+@query("s2_workbook_round_trip", with_(ORDERS) + """
+SELECT row_id, price, cust::BIGINT AS cust, prio FROM ord""")
+def s2(spark, sf):
+    path = scratch_path(spark, "orders") + ".xlsx"
+    tables.write_table(orders(spark, sf).select("row_id", "price", F.col("cust").cast("long").alias("cust"), "prio"), path, "xlsx")
+    return tables.read_any(spark, path)
+
+
 @query("s5_table_sink", with_(ORDERS) + "SELECT row_id, status, price FROM ord")
 def s5(spark, sf):
     path = scratch_path(spark, "sink")

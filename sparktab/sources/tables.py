@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
+import json
 from collections.abc import Sequence
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from . import workbook
 
 # Texts read as missing.
 NULL_TOKENS = (
@@ -68,68 +68,32 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"file format not supported: {path}")
 
 
-def _column_index(reference: str) -> int:
-    index = 0
-    for letter in re.match(r"[A-Z]+", reference).group():
-        index = index * 26 + ord(letter) - 64
-    return index - 1
-
-
-def _sheet_rows(content: bytes):
-    """Rows of the first sheet as lists of texts."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = set(book.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", ns):
-                shared.append("".join(t.text or "" for t in item.iter(f"{{{ns['m']}}}t")))
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        with book.open(sheet) as stream:
-            for _, node in ElementTree.iterparse(stream):
-                if not node.tag.endswith("}row"):
-                    continue
-                row: list[str | None] = []
-                for place, cell in enumerate(node.findall("m:c", ns)):
-                    at = _column_index(cell.get("r")) if cell.get("r") else place
-                    row += [None] * (at + 1 - len(row))
-                    kind, value = cell.get("t"), cell.findtext("m:v", None, ns)
-                    if kind == "s" and value is not None:
-                        value = shared[int(value)]
-                    elif kind == "inlineStr":
-                        value = "".join(t.text or "" for t in cell.iter(f"{{{ns['m']}}}t"))
-                    elif kind == "b" and value is not None:
-                        value = "true" if value == "1" else "false"
-                    row[at] = value
-                yield row
-                node.clear()
-
-
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """First sheets of one or many workbooks; a task reads whole files.
+    """First sheets of one or many workbooks, in ranges of their unpacked bytes (:mod:`workbook`).
 
     Every file is read by its own heading, so columns may stand in another order; files that name other columns are refused.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    workbook.register(spark)
+    files = spark.read.format("binaryFile").load(path).select("path")  # names alone, no content
 
-    def rows(batches):
+    def names_of(batches):
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                out = [(name, i, r) for i, r in enumerate(_sheet_rows(content))]
-                yield pd.DataFrame(out, columns=["path", "line", "cells"])
-
-    lines = files.mapInPandas(rows, "path string, line long, cells array<string>")
-    heading = lines.where("line = 0").orderBy("path").limit(1).first()
-    if heading is None:
-        raise ValueError(f"no rows in {path}")
-    names = [c if c is not None else f"Unnamed: {i}" for i, c in enumerate(heading["cells"])]
-    named = F.transform("cells", lambda c, i: F.coalesce(c, F.concat(F.lit("Unnamed: "), i.cast("string"))))
-    headings = lines.where("line = 0").select("path", named.alias("names"))
-    other = headings.where(F.array_sort("names") != F.array_sort(F.array(*map(F.lit, names)))).select("path").limit(1).first()
-    if other is not None:
-        raise ValueError(f"{other['path']} has other columns than {heading['path']}")
-    at = lambda n: F.array_position("names", n).cast("int") - 1
-    body = lines.where("line > 0").join(headings, "path").select(*[F.get("cells", at(n)).alias(n) for n in names])
+            heads = [(p, workbook.heading(p)) for p in pdf["path"]]
+            yield pd.DataFrame([(p, h[0]) for p, h in heads if h is not None], columns=["path", "names"])
+
+    headings = files.mapInPandas(names_of, "path string, names array<string>").persist()
+    try:
+        first = headings.orderBy("path").limit(1).first()
+        if first is None:
+            raise ValueError(f"no rows in {path}")
+        other = headings.where(F.array_sort("names") != F.array_sort(F.array(*map(F.lit, first["names"])))).select("path").limit(1).first()
+        if other is not None:
+            raise ValueError(f"{other['path']} has other columns than {first['path']}")
+        paths = [r["path"] for r in headings.select("path").collect()]  # a list of files, as every reader plans with
+    finally:
+        headings.unpersist()
+    schema = StructType([StructField(n, StringType()) for n in first["names"]])
+    body = spark.read.format("workbook").schema(schema).option("paths", json.dumps(sorted(paths))).load()
     return infer_types(blank_tokens(body))
 
 
@@ -141,6 +105,10 @@ def write_table(df: DataFrame, path: str, kind: str = "csv", drop: Sequence[str]
         out.select(*flat).write.mode("overwrite").option("header", True).csv(path)
     elif kind == "json":
         out.write.mode("overwrite").json(path)
+    elif kind == "xlsx":
+        workbook.register(df.sparkSession)
+        flat = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in out.dtypes]
+        out.select(*flat).write.format("workbook").mode("overwrite").save(path)
     elif kind == "parquet":
         out.write.mode("overwrite").parquet(path)
     else:
