@@ -11,13 +11,14 @@ Base labels are places where the base phrases stand word by word. They are count
 The score is the chance that the text carries a licence statement: 1 - product of (1 - w) over the distinct labels, w by the highest
 priority of each (0.99, 0.95, 0.8, 0.5; 0.6 for a base phrase alone).
 
-Null and empty texts have no words, no places and score 0. Repeated rows are scanned each for itself. An empty table gives an empty result.
+Time grows with the text and n log n of its detections, so very long texts are scanned whole; of equal detections one is kept. Null and empty texts have no words, no places and score 0. Repeated rows are scanned each for itself. An empty table gives an empty result.
 Other columns pass through under their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
@@ -93,6 +94,68 @@ NOTICES = (
     ("proprietary", "unauthorized copying", r"unauthorized copying of this (?:file|software)"),
 )
 
+# Clauses of licence bodies, header variants, exceptions and dual licensing, written one by one (fixed values): label, keyword, pattern over folded words.
+CLAUSES = (
+    ("gpl", "either version", r"general public license as published by the free software foundation either version (?:1|2|3) of the license"),
+    ("gpl", "everyone is permitted to copy", r"everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl", "freedom to share and change", r"(?:intended to guarantee|designed to take away) your freedom to share and change"),
+    ("gpl", "you should have received a copy", r"you should have received a copy of the gnu general public license along with"),
+    ("gpl", "distributed in the hope", r"(?:is|are) distributed in the hope that (?:it|they) will be useful but without any warranty"),
+    ("gpl", "terms and conditions for copying", r"terms and conditions for copying distribution and modification"),
+    ("lgpl", "you should have received a copy", r"you should have received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("lgpl", "work that uses the library", r"work that uses the library"),
+    ("agpl", "you should have received a copy", r"you should have received a copy of the gnu affero general public license along with"),
+    ("agpl", "remote network interaction", r"remote network interaction use with the gnu general public license"),
+    ("gfdl", "invariant sections", r"with (?:no|the) invariant sections (?:no front cover texts|being list their titles)"),
+    ("gpl-classpath-exception", "independent modules", r"link this library with independent modules to produce an executable"),
+    ("gpl-autoconf-exception", "configuration script", r"configuration script generated by autoconf"),
+    ("gpl-gcc-exception", "gcc runtime library exception", r"gcc runtime library exception(?: version)? 3 1"),
+    ("gpl-bison-exception", "bison parser", r"as a special exception you may create a larger work that contains part or all of the bison parser"),
+    ("gpl-font-exception", "which uses this font", r"if you create a document which uses this font"),
+    ("gpl-openssl-exception", "with the openssl library", r"permission to link the code of (?:portions of )?this program with the openssl library"),
+    ("llvm-exception", "llvm exceptions", r"apache license v2 0 with llvm exceptions"),
+    ("apache", "except in compliance with the license", r"you may not use this file except in compliance with the license"),
+    ("apache", "software distributed under the license", r"software distributed under the license is distributed on an as is basis"),
+    ("apache", "contributor hereby grants to you", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license"),
+    ("apache", "contributor license agreements", r"under one or more contributor license agreements"),
+    ("apache-1", "apache software foundation http", r"this product includes software developed by the apache software foundation http"),
+    ("mit", "above copyright notice and this permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "without restriction including", r"to deal in the software without restriction including without limitation the rights"),
+    ("mit-no-attribution", "sell copies of the software and to permit", r"publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("x11", "shall not be used in advertising", r"the name of .{1,80}? shall not be used in advertising or otherwise to promote the sale"),
+    ("hpnd", "that the above copyright notice appear", r"provided that the above copyright notice appear in all copies"),
+    ("bsd", "redistributions of source code must", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "substitute goods or services", r"procurement of substitute goods or services loss of use data or profits or business interruption"),
+    ("bsd-original", "all advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-clear", "no express or implied licenses", r"no express or implied licenses to any party s patent rights are granted by this license"),
+    ("isc", "use or performance of this software", r"arising out of or in connection with the use or performance of this software"),
+    ("zlib", "altered source versions must", r"altered source versions must be plainly marked as such"),
+    ("zlib", "origin of this software must not", r"the origin of this software must not be misrepresented"),
+    ("mpl", "was not distributed with this file", r"if a copy of the mpl was not distributed with this file"),
+    ("mpl", "contents of this file are subject", r"the contents of this file are subject to the mozilla public license version 1 (?:0|1)"),
+    ("mpl-no-copyleft", "incompatible with secondary licenses", r"this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("epl", "accompanying materials are made available", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "subject to the terms of the common", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("boost", "machine executable object code generated", r"machine executable object code generated by a source language processor"),
+    ("artistic", "semblance of artistic control", r"maintains some semblance of artistic control over the development of the package"),
+    ("unlicense", "free to copy modify publish", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0", "waived all copyright and related", r"has waived all copyright and related or neighboring rights"),
+    ("ofl", "reserved font name", r"(?:with|may use the) reserved font name"),
+    ("wtfpl", "you just do", r"you just do what the fuck you want to"),
+    ("json", "for good not evil", r"the software shall be used for good not evil"),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return"),
+    ("commons-clause", "right to sell the software", r"the license does not include and the license does not grant to you the right to sell the software"),
+    ("sspl", "server side public license", r"server side public license(?: version 1)?"),
+    ("busl", "business source license", r"business source license(?: 1 1)?"),
+    ("elastic", "as a hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("dual-licence", "dual licensed under", r"(?:is|are) dual licensed under"),
+    ("dual-licence", "at your option", r"(?:license|licence|mit|apache 2 0|gpl|lgpl|bsd) at your option"),
+    ("dual-licence", "alternatively the contents of this file", r"alternatively the contents of this file may be used under the terms of"),
+    ("proprietary", "trade secret", r"(?:contains|protected by|protected as) (?:a )?trade secret(?: and copyright)? (?:law|information)"),
+    ("proprietary", "no part of this", r"no part of this (?:publication|work|document|software) may be reproduced"),
+)
+
 
 def rules() -> list[tuple[int, str, str, str]]:
     """(priority, label, keyword, pattern) of all rules; a keyword is a run of whole words that each match contains."""
@@ -112,10 +175,24 @@ def rules() -> list[tuple[int, str, str, str]]:
             kind = stem[3:]
             for version in versions:
                 out.append((4, label, f"creativecommons org licenses {kind}", rf"creativecommons org licenses {kind} {version}"))
-    out += [(3, label, keyword.replace(".", " "), pattern) for label, keyword, pattern in NOTICES]
+    out += [(3, label, keyword, pattern) for label, keyword, pattern in NOTICES + CLAUSES]
     return out
 
 
+def uncontained(found: Iterable[tuple]) -> list[tuple]:
+    """Detections (begin, end, priority, label, rule) that no other holds which ranks before them: by priority, then length, then place, label and rule.
+
+    One sweep by begin, longest first: of all that began so far, only the furthest end of each priority counts.
+    """
+    reach = [0] * (len(_WEIGHT) + 1)
+    kept = []
+    for x in sorted(found, key=lambda x: (x[0], -x[1], -x[2], x[3], x[4])):
+        if max(reach[x[2]:]) < x[1]:
+            kept.append(x)
+        reach[x[2]] = max(reach[x[2]], x[1])
+    return sorted(kept, key=lambda x: (x[0], x[3], -x[2], x[0] - x[1], x[4]))
+
+
 class Scanner:
     def __init__(self):
         self.rules = [(priority, label, re.compile(rf"(?<=\s){pattern}(?=\s)"), pattern) for priority, label, _, pattern in rules()]
@@ -156,12 +233,7 @@ class Scanner:
                     if m.start() <= start + 1:
                         found.add((m.start(), m.end(), priority, label, name))
                         reached = max(reached, m.end() - 1)
-        found = sorted(found, key=lambda x: (-x[2], -(x[1] - x[0]), x[0], x[3], x[4]))
-        kept: list[tuple] = []
-        for x in found:
-            if not any(k[0] <= x[0] and x[1] <= k[1] for k in kept):
-                kept.append(x)
-        kept.sort(key=lambda x: (x[0], x[3]))
+        kept = uncontained(found)
         spots = np.cumsum(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)  # blanks up to each letter: word k begins after k + 1 blanks
         word = lambda at: int(spots[at]) - 1
         starts = sorted(int(spots[s]) - 1 for s, _ in places)

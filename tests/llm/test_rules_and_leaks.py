@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -191,6 +192,38 @@ def test_inner_detections_are_suppressed():
     assert [(d["label"], d["first"], d["last"]) for d in seen] == [("apache", 1, 8), ("mit", 11, 12)]
 
 
+def test_sweep_keeps_what_the_pairwise_rule_keeps():
+    r = random.Random(5)
+    for n in (0, 1, 5, 40, 300):
+        for width in (4, 30, 200):
+            found = {(b, b + r.randint(1, width), r.randint(1, 4), r.choice("ab"), r.choice("xy")) for b in (r.randrange(width) for _ in range(n))}
+            kept = []
+            for x in sorted(found, key=lambda x: (-x[2], -(x[1] - x[0]), x[0], x[3], x[4])):
+                if not any(k[0] <= x[0] and x[1] <= k[1] for k in kept):
+                    kept.append(x)
+            assert licence_rules.uncontained(found) == sorted(kept, key=lambda x: (x[0], x[3]))
+
+
+def test_many_detections_take_linear_time():
+    begin = time.perf_counter()
+    kept = licence_rules.uncontained((i, i + 3, 1 + i % 4, "a", "x") for i in range(1_000_000))
+    assert len(kept) == 1_000_000 and time.perf_counter() - begin < 60
+    seen = scanner().scan("mit license or " * 100_000)
+    assert seen[1] == len(seen[7]) == 100_000
+
+
+@pytest.mark.parametrize("text,label", [
+    ("You may not use this file except in compliance with the License.", "apache"),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"),
+    ("All advertising materials mentioning features or use of this software must display the following acknowledgement:", "bsd-original"),
+    ("The Software shall be used for Good, not Evil.", "json"), ("These tools are dual-licensed under X and Y", "dual-licence"),
+    ("Altered source versions must be plainly marked as such", "zlib"), ("This is distributed in the hope that they dance", None),
+    ("GCC Runtime Library Exception, version 3.1", "gpl-gcc-exception"), ("The name of ACME shall not be used in advertising or otherwise to promote the sale", "x11"),
+])
+def test_written_clauses(text, label):
+    assert (label in scanner().scan(text)[5].split(",")) if label else scanner().scan(text)[5] == ""
+
+
 def test_licence_table(spark):
     rows = [(0, "a MIT License b mit license", "z"), (1, None, None), (2, "", "z"), (0, "a MIT License b mit license", "z"), (None, "w " * 50_000 + "cc by", "z")]
     out = licence_rules.scanned(spark.createDataFrame(rows, "doc_id long, text string, labels string"))
