@@ -13,13 +13,14 @@ splits. A level of all folds and families is one job, whatever the number of mod
   the same trees come out for any partitioning and after any retry. Ties go to the first feature and the lowest cut.
 - Row samples are digests of row id, seed and round; column samples of seed and round.
 
-A table that fills one partition of blocks at most (``PART_CELLS``, counted) is scanned by one task in any case, so there each model makes its passes
-next to a copy of the blocks and the models run side by side; sums are the same whole numbers, so the trees are too.
+A table of at most ``PART_CELLS`` cells (counted) that many models ask, or of at most ``SHARED_CELLS`` cells, lies in one partition: there each model makes
+its passes next to a copy of the blocks and the models run side by side; sums are the same whole numbers, so the trees are too. Any other table is spread
+over ``FEW_PARTS`` partitions of at least ``SHARED_CELLS`` cells, and over more once these hold ``PART_CELLS``, so a single model's pass is no single task.
 
 Blocks are an RDD of NumPy arrays: a fit is thousands of short passes over the same arrays, and a plan for each of them takes three times as long as the
 pass itself. Up to ``FEW_PARTS`` partitions, with histograms of at most ``FEW_CELLS`` cells, sums meet at the driver; beyond that they are
-shuffled by ranges of features and reduced where they arrive. Scores are kept in the blocks every ``REFRESH`` rounds, and written to the checkpoint
-folder every ``REFRESH * KEEP`` rounds, so no lineage grows with the rounds.
+shuffled by ranges of features and reduced where they arrive. Scores are kept in the blocks as soon as the models have finished a tree each, so a pass
+routes rows through few finished trees, and written to the checkpoint folder after ``KEEP`` such rounds, so no lineage grows with the rounds.
 """
 
 from __future__ import annotations
@@ -42,10 +43,13 @@ LEAST_GAIN = 1e-6
 BLOCK_ROWS = 1 << 15
 #: Cells (rows x columns) of a partition of blocks.
 PART_CELLS = 4_000_000
-FEW_PARTS, FEW_CELLS = 8, 1_000_000
+#: Cells that are worth a partition of their own, and the models that make it worth while to keep more in one.
+SHARED_CELLS, MANY_MODELS = 400_000, 12
+FEW_PARTS, FEW_CELLS = 12, 600_000
 #: Cells of a feature range where sums are reduced.
 RANGE_CELLS = 1_000_000
-REFRESH, KEEP = 8, 8
+#: Refreshed scores after which blocks are written to the checkpoint folder.
+KEEP = 64
 #: Tasks among which the models of a small table are dealt.
 MODEL_TASKS = 64
 
@@ -254,20 +258,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def routed(bins: np.ndarray, sizes: np.ndarray, tree: tuple[np.ndarray, ...], steps: int) -> np.ndarray:
-    """The node of each row after so many steps from the root."""
+def routed(bins: np.ndarray, sizes: np.ndarray, tree: tuple[np.ndarray, ...], at: np.ndarray | None = None) -> np.ndarray:
+    """The leaf of each row, from the root or from the nodes ``at``, which are changed; rows in leaves are looked at once."""
     feature, cut, missing_left, left, right, _ = tree
-    at = np.zeros(bins.shape[1], np.int32)
-    row = np.arange(bins.shape[1])
-    for _ in range(steps):
-        f = feature[at]
-        inner = f >= 0
-        if not inner.any():
-            break
-        f = np.maximum(f, 0)
-        b = bins[f, row]
-        goes_left = np.where(b == sizes[f] - 1, missing_left[at], b <= cut[at])
-        at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+    if at is None:
+        at = np.zeros(bins.shape[1], np.int32)
+    live = np.flatnonzero(feature[at] >= 0)
+    while len(live):
+        node = at[live]
+        f = feature[node]
+        b = bins[f, live]
+        node = np.where(np.where(b == sizes[f] - 1, missing_left[node], b <= cut[node]), left[node], right[node])
+        at[live] = node
+        live = live[feature[node] >= 0]
     return at
 
 
@@ -277,10 +280,9 @@ class Ask:
 
     run: int
     tree: tuple[np.ndarray, ...]
-    depth: int
     slots: np.ndarray
     n_slots: int
-    pending: list[tuple[tuple[np.ndarray, ...], int]]
+    pending: list[tuple[np.ndarray, ...]]
     sample: tuple[float, int] | None
     loss: str
     scales: tuple[float, float]
@@ -288,18 +290,18 @@ class Ask:
 
 def scored(block: dict, sizes: np.ndarray, run: int, pending) -> np.ndarray:
     m = block["m"][run]
-    for tree, depth in pending:
-        m = m + tree[5][routed(block["bins"], sizes, tree, depth)]
+    for tree in pending:
+        m = m + tree[5][routed(block["bins"], sizes, tree)]
     return m
 
 
-def block_sums(block: dict, grid_sizes: np.ndarray, offsets: np.ndarray, asks: list[Ask]) -> list[np.ndarray]:
-    """(slots, bins of all features, 3) whole-number sums of each ask."""
+def block_sums(block: dict, grid_sizes: np.ndarray, offsets: np.ndarray, asks: list[Ask], places: np.ndarray | None = None) -> list[np.ndarray]:
+    """(slots, bins of all features, 3) whole-number sums of each ask; ``places``: the nodes of all rows after the pass before, kept up to date."""
     bins, y, out = block["bins"], block["y"], []
     total = int(offsets[-1])
     for ask in asks:
         w = block["w"][ask.run]
-        slot = ask.slots[routed(bins, grid_sizes, ask.tree, ask.depth)]
+        slot = ask.slots[routed(bins, grid_sizes, ask.tree, places)]
         take = (slot >= 0) & (w > 0)
         if ask.sample is not None:
             share, salt = ask.sample
@@ -403,7 +405,7 @@ class Grower:
     def __init__(self, spec: BoostSpec, n_features: int, start: float, scales: tuple[float, float], cuts: list[np.ndarray]):
         self.spec, self.start, self.scales, self.cuts, self.n_features = spec, start, scales, cuts, n_features
         self.trees: list[Tree] = []
-        self.pending: list[tuple[tuple[np.ndarray, ...], int]] = []
+        self.pending: list[tuple[np.ndarray, ...]] = []
         self.tree: Tree | None = None
         self.open: list[int] = []
         if spec.rounds:
@@ -426,7 +428,7 @@ class Grower:
         slots = np.full(len(self.tree.feature), -1, np.int64)
         slots[self.open] = np.arange(len(self.open))
         sample = (self.spec.row_share, self.salt(0)) if self.spec.row_share < 1 else None
-        return Ask(run, self.tree.arrays(), max(self.tree.depth), slots, len(self.open), list(self.pending), sample, self.spec.loss, self.scales)
+        return Ask(run, self.tree.arrays(), slots, len(self.open), list(self.pending), sample, self.spec.loss, self.scales)
 
     def rule(self) -> Rule:
         return Rule(self.spec, self.scales, self.columns)
@@ -510,7 +512,7 @@ class Grower:
             if feature < 0 and below > 0:
                 t.value[i] = float(-spec.rate * shrunk(np.float64(t.grad[i]), spec.l1) / below)
         self.trees.append(t)
-        self.pending.append((t.arrays(), max(t.depth)))
+        self.pending.append(t.arrays())
         self.tree, self.open = None, []
         if len(self.trees) < spec.rounds:
             self.begin()
@@ -519,6 +521,13 @@ class Grower:
 # ---- fitting
 
 
+def n_parts(cells: int, part_cells: int, models: int) -> int:
+    """Partitions of blocks: one where models are run side by side, else as many as shared passes are spread over."""
+    if cells <= part_cells and models >= MANY_MODELS:
+        return 1
+    return max(1, -(-cells // part_cells), min(FEW_PARTS, -(-cells // SHARED_CELLS)))
+
+
 def packed_blocks(df: DataFrame, grid: Grid, starts: list[float], parts: int):
     """RDD of blocks from rows of x (array), y, w (array), key."""
     n_features, n_runs = len(grid.cuts), len(starts)
@@ -540,7 +549,8 @@ def packed_blocks(df: DataFrame, grid: Grid, starts: list[float], parts: int):
             "key": np.frombuffer(row["key"], np.uint64), "m": np.repeat(np.array(starts)[:, None], n, axis=1),
         }
 
-    return df.coalesce(parts).mapInArrow(pack, "bins binary, y binary, w binary, key binary, n long").rdd.map(block)
+    dealt = df.coalesce(parts) if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+    return dealt.mapInArrow(pack, "bins binary, y binary, w binary, key binary, n long").rdd.map(block)
 
 
 def one_pass(blocks, parts: int, grid: Grid, asks: list[Ask], rules: list[Rule], judge: Callable = best_splits) -> list[list[tuple]]:
@@ -590,13 +600,15 @@ def side_by_side(blocks, growers: list[Grower], grid: Grid, judge: Callable = be
         own, found = list(own), []
         for place, i in enumerate(range(k, len(growers), tasks)):
             grower = growers[i]
+            places = [np.zeros(b["bins"].shape[1], np.int32) for b in own]
             while grower.tree is not None:
                 ask = grower.ask(place)
-                sums = sum(block_sums(b, sizes, offsets, [ask])[0] for b in own)
+                sums = sum(block_sums(b, sizes, offsets, [ask], p)[0] for b, p in zip(own, places))
                 grower.told(judge(sums, 0, len(sizes), sizes, grower.rule()))
-                if len(grower.pending) >= REFRESH:
-                    for b in own:
+                if grower.pending:
+                    for b, p in zip(own, places):
                         b["m"][place] = scored(b, sizes, place, grower.pending)
+                        p[:] = 0
                     grower.pending.clear()
             found.append((i, grower.trees))
         return found
@@ -638,7 +650,7 @@ def fit_boosters(df: DataFrame, values: Column, target: Column, row_id: str, run
             start = best_start(run.spec.loss, f["wy"] / f["w"]) if run.spec.start is None else run.spec.start
             reach = 1.0 if run.spec.loss == "logistic" else max(abs(f["hi"] - start), abs(f["lo"] - start), f["hi"] - f["lo"]) or 1.0
             growers.append(Grower(run.spec, n_features, start, (2.0**bits / (f["top"] * reach), 2.0**bits / f["top"]), grid.cuts))
-        parts = max(1, -(-n * (n_features + 4 * len(runs)) // part_cells))
+        parts = n_parts(n * (n_features + 4 * len(runs)), part_cells, len(growers))
         blocks = packed_blocks(rows, grid, [g.start for g in growers], parts)
         if parts == 1 and not passes_only:
             return [Boosted(g.spec, g.start, trees) for g, trees in zip(growers, side_by_side(blocks, growers, grid))]
@@ -652,7 +664,7 @@ def fit_boosters(df: DataFrame, values: Column, target: Column, row_id: str, run
                 growers[i].told(splits)
             while len(held) > 1:
                 held.pop(0).unpersist()  # the newer blocks have been computed by the pass
-            if any(len(g.pending) >= REFRESH for g in growers):
+            if sum(len(g.pending) for g in growers) >= len(active):
                 pending, sizes = [list(g.pending) for g in growers], grid.sizes
                 blocks = blocks.map(lambda b, pending=pending: {**b, "m": np.array([scored(b, sizes, i, p) for i, p in enumerate(pending)])}).persist(StorageLevel.MEMORY_AND_DISK)
                 refreshed += 1

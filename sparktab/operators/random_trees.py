@@ -23,7 +23,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .boosting import MAX_BINS, PART_CELLS, Boosted, BoostSpec, Grid, Grower, Rule, Run, one_pass, packed_blocks, quantile_cuts, side_by_side, worth
+from .boosting import MAX_BINS, PART_CELLS, Boosted, BoostSpec, Grid, Grower, Rule, Run, one_pass, n_parts, packed_blocks, quantile_cuts, side_by_side, worth
 
 OPEN_CELLS, PASS_CELLS = 1_000_000, 4_000_000
 #: Gains up to this share of the squared range of the target are none.
@@ -162,7 +162,7 @@ def fit_random_trees(df: DataFrame, values: Column, target: Column, row_id: str,
             scales = (2.0**bits / (f["top"] * reach), 2.0**bits / f["top"])
             growers += [RandomGrower(run.spec, k, n_features, starts[i], scales, grid.cuts) for k in range(run.spec.rounds)]
             which += [i] * run.spec.rounds
-        parts = max(1, -(-n * (n_features + 4 * len(runs)) // part_cells))
+        parts = n_parts(n * (n_features + 4 * len(runs)), part_cells, len(growers))
         blocks = packed_blocks(rows, grid, starts, parts)
         if parts == 1 and not passes_only:
             trees = side_by_side(blocks, growers, grid, drawn_splits, which)
