@@ -165,13 +165,17 @@ def forest_settings(spark: SparkSession) -> dict:
 
 def tree_importances(df: DataFrame, cols: Sequence[str], label: str, n_trees: int = 50, features: str = "sqrt", max_depth: int = 30, seed: int = 42) -> dict[str, float]:
     cols = list(cols)
-    data = assemble(df, cols).select(F.col(label).cast("double").alias("label"), "features").persist()
+    rows = assemble(df, cols).select(F.col(label).cast("double").alias("label"), "features").persist()
+    data = None
     try:
+        data = forest_partitions(rows, rows.count()).persist()
         model = RandomForestClassifier(
-            numTrees=n_trees, featureSubsetStrategy=features, bootstrap=False, maxDepth=max_depth, seed=seed
+            numTrees=n_trees, featureSubsetStrategy=features, bootstrap=False, maxDepth=max_depth, seed=seed, **forest_settings(df.sparkSession)
         ).fit(data)
     finally:
-        data.unpersist()
+        if data is not None:
+            data.unpersist()
+        rows.unpersist()
     return dict(zip(cols, model.featureImportances.toArray().tolist()))
 
 

@@ -48,3 +48,8 @@ def test_model_rows_are_dealt_out(rows, fitted_on):
     models.fit_model(rows, NAMES, "label", "rf", {"n_estimators": 3})
     models.fit_model(rows.limit(90), NAMES, "label", "rf", {"n_estimators": 3})
     assert fitted_on == [(3, 240, True), (1, 90, True)]
+
+
+def test_selector_rows_are_dealt_out(rows, fitted_on):
+    kept = select.select_by_trees(rows, NAMES, "label", n_trees=10)
+    assert fitted_on == [(3, 240, True)] and "a" in kept and "c" not in kept
