@@ -1,10 +1,15 @@
 """Random trees: the same by passes and side by side, thresholds inside the node, one draw replayed by hand, missing values, ties."""
 
+import json
+import pickle
+import sys
+
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from sparktab.operators import random_trees
+from sparktab.operators import boosting, random_trees
 from sparktab.operators.boosting import Run
 from sparktab.plans import surrogate
 
@@ -95,3 +100,38 @@ def test_folds_share_a_call_and_other_growth_is_refused(spark):
 
     with pytest.raises(ValueError):
         fit(df, BoostSpec())
+
+
+def test_nodes_are_small():
+    """A node takes about 80 bytes wherever trees gather, and a saved tree is the same."""
+    tree = boosting.Tree()
+    for i in range(20_000):
+        tree.add(3, i / 7, 1.0 + i, 1000 + i)
+    columns = [getattr(tree, name) for name in ("feature", "bin", "cut", "missing_left", "left", "right", "depth", "gain", "grad", "hess", "rows", "value")]
+    apart = {id(v): sys.getsizeof(v) for c in columns if isinstance(c, list) for v in c}
+    assert sum(map(sys.getsizeof, columns)) + sum(apart.values()) < 100 * 20_000
+    model = boosting.Boosted(random_trees.random_spec(1), 0.0, [tree])
+    again = boosting.Boosted.from_dict(json.loads(json.dumps(model.as_dict())))
+    said = json.dumps(model.as_dict())
+    assert json.dumps(again.as_dict()) == said == json.dumps(pickle.loads(pickle.dumps(model)).as_dict())
+
+
+def test_folds_of_random_trees_are_fitted_one_after_another(spark, monkeypatch):
+    """Never the trees of two folds in the driver, and the same predictions as from one fit of all folds."""
+    _, _, df = rows(spark)
+    df = df.select(F.col("id").alias("row_id"), array_to_vector(F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))).alias("features"), "y").persist()
+    calls, fit = [], random_trees.fit_random_trees
+
+    def counted(*a, **k):
+        calls.append(len(a[4]))
+        return fit(*a, **k)
+
+    monkeypatch.setattr(surrogate, "fit_random_trees", counted)
+    spec = random_trees.random_spec(3, 5, 2, 1)
+    got = surrogate.cross_predict(df, {"extra_trees": lambda: surrogate.BoostedRegressor(spec, counted)}, "row_id", n_folds=3).persist()
+    assert calls == [1, 1, 1] and got.count() == 400
+    tagged = df.join(got.select("row_id", "fold"), "row_id").persist()
+    models = fit(tagged, vector_to_array("features"), F.col("y"), "row_id", [Run(spec, (F.col("fold") != k).cast("double")) for k in range(3)], max_bins=256)
+    for k, model in enumerate(models):
+        want = {r["row_id"]: r["p"] for r in tagged.where(F.col("fold") == k).select("row_id", model.predict(vector_to_array("features")).alias("p")).collect()}
+        assert {r["row_id"]: r["yhat"] for r in got.where(F.col("fold") == k).collect()} == want
