@@ -82,3 +82,13 @@ def test_one_class_is_refused(rings):
     _, _, df = rings
     with pytest.raises(ValueError):
         fit_machines(df.where("label = 1"), F.array("a", "b"), F.col("label") == 1, F.col("row_id"), [F.lit(1.0)], 1.0)
+
+
+def test_a_table_of_many_blocks_needs_few_rounds(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 2))
+    y = ((x**2).sum(1) + 0.3 * rng.normal(size=1500) > 1.3).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(1500)], "row_id long, label int, a double, b double").repartition(3)
+    [machine], [dual] = fit_machines(df, F.array("a", "b"), F.col("label") == 1, F.col("row_id"), [F.lit(2.0)], 0.8, working=40, part_rows=400, max_rounds=45)
+    worst, balance, outside = conditions(dual.toPandas())
+    assert worst < 1e-3 and balance < 1e-8 and outside == 0 and len(machine.weights) < 750
