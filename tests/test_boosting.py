@@ -207,3 +207,31 @@ def test_rows_are_routed_on_from_kept_places(data):
     places = boosting.routed(bins, sizes, root)
     assert places.tolist() == [1, 2, 1, 2, 1]
     assert boosting.routed(bins, sizes, tree, places).tolist() == boosting.routed(bins, sizes, tree).tolist() == [1, 3, 1, 4, 1]
+
+
+def test_sums_next_to_the_blocks_are_those_of_a_pass():
+    """Of two new nodes one is summed and the other taken off their parent; with missing values, weights, samples and all growths."""
+    rng = np.random.default_rng(3)
+    n = 700
+    x = rng.normal(size=(n, 3)).round(1)
+    x[rng.random((n, 3)) < 0.1] = np.nan
+    grid = boosting.Grid([np.unique(x[:, j][~np.isnan(x[:, j])]) for j in range(3)])
+    half = lambda at: {"bins": grid.binned(x[at]), "y": (np.nan_to_num(x[at, 0]) > 0).astype(float), "w": rng.integers(0, 3, (1, len(at))).astype(float), "m": np.zeros((1, len(at))),
+                       "key": rng.integers(0, 2**62, len(at)).astype(np.uint64)}
+    for growth, options in (("level", {"row_share": 0.7}), ("leaf", {"num_leaves": 9, "max_depth": 0}), ("symmetric", {"max_depth": 3})):
+        blocks = [half(np.arange(300)), half(np.arange(300, n))]
+        grower = boosting.Grower(boosting.BoostSpec(**{"rounds": 3, "growth": growth, "min_hessian": 0.0} | options), 3, 0.0, (2.0**20, 2.0**20), grid.cuts)
+        near, passes = boosting.TreeSums(blocks, 0, grid), 0
+        while grower.tree is not None:
+            ask = grower.ask(0)
+            whole = sum(boosting.block_sums(b, grid.sizes, grid.offsets, [ask])[0] for b in blocks)
+            found = near.ask(ask, grower.tree)
+            assert found.shape == whole.shape and (found == whole).all()
+            grower.told(boosting.best_splits(found, 0, 3, grid.sizes, grower.rule()))
+            passes += 1
+            if grower.pending:
+                for b in blocks:
+                    b["m"][0] = boosting.scored(b, grid.sizes, 0, grower.pending)
+                grower.pending.clear()
+                near.begin()
+        assert passes >= 6
