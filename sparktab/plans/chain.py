@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators import balance, impute, models, select
-from ..operators.outlier import OutlierTamer
+from ..operators.outlier import OutlierTamer, TamerState
 from ..operators.scale import FITTERS
 
 STEPS = ("imputer", "tamer", "normalizer", "selector", "balancer", "classifier")
@@ -125,27 +125,71 @@ class FittedChain:
         ]
 
 
-def fit_chain(df: DataFrame, features: Sequence[str], label: str, row_id: str, config: ChainConfig, seed: int = 42) -> FittedChain:
-    """Fit each step on the output of the one before; the prepared rows are kept for selector, balancer and model."""
+@dataclass
+class FittedStart:
+    """The first steps of a chain: the imputer, and what the tamer learned from the filled rows."""
+
+    imputer: object
+    state: TamerState
+
+
+def start_key(config: ChainConfig) -> tuple:
+    """What the first steps learn depends on; chains that agree in it can share a :class:`FittedStart`.
+
+    Deviation limits, and the repairs that need only medians and edges, come in when rows are repaired.
+    """
+    local = config.remediation if config.remediation in ("cluster_local_median", "shrink") else None
+    plain = config.detector == "statistical" and local != "cluster_local_median"
+    return config.imputer, config.detector, local, None if plain else config.contamination
+
+
+def _tamer(config: ChainConfig, row_id: str, seed: int) -> OutlierTamer:
+    return OutlierTamer(config.detector, config.remediation, contamination=config.contamination, mad_threshold=config.mad_threshold, row_id=row_id, seed=seed)
+
+
+def _filled(train: DataFrame, imputer) -> DataFrame:
+    return imputer.transform_training(train) if isinstance(imputer, impute.ClassFill) else imputer.transform(train)
+
+
+def fit_start(df: DataFrame, features: Sequence[str], label: str, row_id: str, config: ChainConfig, seed: int = 42) -> FittedStart:
     features = list(features)
     train = df.select(row_id, label, *features)
     imputer = fit_imputer(train, features, label, row_id, config.imputer)
-    filled = imputer.transform_training(train) if isinstance(imputer, impute.ClassFill) else imputer.transform(train)
-    filled = filled.persist()
+    filled = _filled(train, imputer).persist()
+    try:
+        return FittedStart(imputer, _tamer(config, row_id, seed).fit(filled, features).state)
+    finally:
+        filled.unpersist()
+
+
+def fit_chain(df: DataFrame, features: Sequence[str], label: str, row_id: str, config: ChainConfig, seed: int = 42, start: FittedStart | None = None) -> FittedChain:
+    """Fit each step on the output of the one before; the tamed rows are kept for scaler, selector, balancer and model.
+
+    ``start``: the first steps, where they were fitted on the same rows for a chain of the same :func:`start_key`.
+    """
+    features = list(features)
+    train = df.select(row_id, label, *features)
+    imputer = start.imputer if start else fit_imputer(train, features, label, row_id, config.imputer)
+    filled = _filled(train, imputer)
+    if start is None or config.remediation == "shrink":  # read more than once
+        filled = filled.persist()
     try:
-        tamer = OutlierTamer(config.detector, config.remediation, contamination=config.contamination,
-                             mad_threshold=config.mad_threshold, row_id=row_id, seed=seed).fit(filled, features)
-        tamed = tamer.transform(filled)
+        tamer = _tamer(config, row_id, seed)
+        if start is None:
+            tamer.fit(filled, features)
+        else:
+            tamer.state = start.state
         if config.normalizer not in FITTERS:
             raise ValueError(f"unknown normalizer: {config.normalizer!r}")
-        scaler = FITTERS[config.normalizer](tamed, features)
-        ready = scaler.transform(tamed).persist()
+        tamed = tamer.transform(filled).persist()
         try:
+            scaler = FITTERS[config.normalizer](tamed, features)
+            ready = scaler.transform(tamed)
             selected = run_selector(ready, features, label, config.selector)
             balanced = run_balancer(ready.select(row_id, label, *selected), selected, label, row_id, config.balancer, seed)
             model = models.fit_model(balanced, selected, label, config.family, config.params, row_id, seed)
         finally:
-            ready.unpersist()
+            tamed.unpersist()
     finally:
         filled.unpersist()
     return FittedChain(config, features, row_id, imputer, tamer, scaler, selected, model)

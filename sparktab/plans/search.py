@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -14,7 +15,7 @@ from ..operators.ordered import global_rank, hash_key
 from ..operators.quantiles import quantiles
 from ..operators.split import stratified_folds
 from ..operators.stats import top_messages
-from .chain import ChainConfig, fit_chain
+from .chain import ChainConfig, FittedStart, fit_chain, fit_start, start_key
 
 # Shares of the candidate budget and the options of each preparation step.
 QUOTAS = {"xgb": 0.30, "lgbm": 0.30, "rf": 0.10, "catboost": 0.10, "lr": 0.10, "stacker": 0.10}
@@ -180,17 +181,22 @@ FIT_ROWS = 50_000
 FOLD_SCHEMA = "candidate string, repeat int, fold int, pr_auc double, roc_auc double, fit_error string"
 
 
-def _scores(df, features, label, row_id, config, fold_col, fold, seed):
-    chain = fit_chain(df.where(F.col(fold_col) != fold), features, label, row_id, config, seed)
+def _scores(df, features, label, row_id, config, fold_col, fold, seed, start: FittedStart | None = None):
+    chain = fit_chain(df.where(F.col(fold_col) != fold), features, label, row_id, config, seed, start)
     held = df.where(F.col(fold_col) == fold)
     return chain.transform(held.select(row_id, label, *features)).select(
         row_id, F.col(label).cast("int").alias("label"), F.col("probability")[1].alias("score"))
 
 
-def evaluate_fold(df, features, label, row_id, name, config, fold_col, fold, repeat=0, seed=42) -> tuple:
-    """One fit and one metric row; an error of the fit is recorded whole, a mistake in the plan is raised."""
+def evaluate_fold(df, features, label, row_id, name, config, fold_col, fold, repeat=0, seed=42, start: FittedStart | Exception | None = None) -> tuple:
+    """One fit and one metric row; an error of the fit is recorded whole, a mistake in the plan is raised.
+
+    ``start``: the first steps where they were fitted before, or the error that they ended in.
+    """
     try:
-        points = curve_points(_scores(df, features, label, row_id, config, fold_col, fold, seed))
+        if isinstance(start, Exception):
+            raise start
+        points = curve_points(_scores(df, features, label, row_id, config, fold_col, fold, seed, start))
         row = ranking_metrics(points).first()
         return (name, repeat, fold, row["pr_auc"], row["roc_auc"], None)
     except AnalysisException:
@@ -199,16 +205,32 @@ def evaluate_fold(df, features, label, row_id, name, config, fold_col, fold, rep
         return (name, repeat, fold, None, None, f"{type(error).__name__}: {error}")
 
 
+def _start(df, features, label, row_id, config, fold_col, fold, seed) -> FittedStart | Exception:
+    try:
+        return fit_start(df.where(F.col(fold_col) != fold), features, label, row_id, config, seed)
+    except AnalysisException:
+        raise
+    except Exception as error:  # noqa: BLE001 - recorded for every candidate that needs it
+        return error
+
+
 def search(df: DataFrame, features: Sequence[str], label: str, row_id: str, configs: Mapping[str, ChainConfig], n_folds: int = 5,
-           seed: int = 42, parallel: int = 8) -> DataFrame:
-    """Fold metrics of every candidate.  Folds are dealt once; a bounded number of threads submit the fits."""
+           seed: int = 42, parallel: int = 8, starts: dict | None = None) -> DataFrame:
+    """Fold metrics of every candidate.  Folds are dealt once; a bounded number of threads submit the fits.
+
+    First steps that several candidates share are fitted once for a fold. ``starts`` keeps them for later calls on the same rows, folds and seed.
+    """
     spark = df.sparkSession
+    starts = {} if starts is None else starts
     tagged = stratified_folds(df.select(row_id, label, *features), label, row_id, n_folds, seed)
     tagged = tagged.coalesce(max(1, -(-df.count() // FIT_ROWS))).persist()  # a fit makes many passes over few rows
     try:
         work = [(name, config, fold) for name, config in configs.items() for fold in range(n_folds)]
+        times = Counter(start_key(config) for config in configs.values())
+        shared = {(start_key(c), fold): (c, fold) for _, c, fold in work if times[start_key(c)] > 1 and (start_key(c), fold) not in starts}
         with ThreadPoolExecutor(parallel) as pool:
-            rows = list(pool.map(lambda w: evaluate_fold(tagged, list(features), label, row_id, w[0], w[1], "fold", w[2], 0, seed), work))
+            starts |= zip(shared, list(pool.map(lambda w: _start(tagged, list(features), label, row_id, w[0], "fold", w[1], seed), shared.values())))
+            rows = list(pool.map(lambda w: evaluate_fold(tagged, list(features), label, row_id, w[0], w[1], "fold", w[2], 0, seed, starts.get((start_key(w[1]), w[2]))), work))
     finally:
         tagged.unpersist()
     return spark.createDataFrame(rows, FOLD_SCHEMA)

@@ -455,6 +455,7 @@ def optimize(df: DataFrame, features: Sequence[str], label: str, row_id: str, me
     target = "uncertainty_aware_score"
     quotas = quotas or {r["family"]: 1.0 for r in dims.select("family").distinct().collect()}
     quotas = {k: v / sum(quotas.values()) for k, v in quotas.items()}
+    starts: dict = {}  # first steps of the chains, the same for all batches
     for b in range(batches):
         encoder = fit_encoder(meta, cat_cols, num_cols)
         train = encoder.transform(meta).select("features", F.col(target).alias("y"))
@@ -464,11 +465,11 @@ def optimize(df: DataFrame, features: Sequence[str], label: str, row_id: str, me
         spread = tree_spread(encoder.transform(fresh), forest, fresh.columns)
         scored = spread.withColumn("acq", acquisition(F.col("mu"), F.col("sigma"), best, kind))
         chosen = select_with_quotas(scored, "acq", batch_size, MIN_SHARES, "candidate")
-        meta = _evaluate_into(meta, chosen.drop("mu", "sigma", "acq"), df, features, label, row_id, n_folds, seed, f"{b}")
+        meta = _evaluate_into(meta, chosen.drop("mu", "sigma", "acq"), df, features, label, row_id, n_folds, seed, f"{b}", starts)
     best_row = meta.orderBy(F.col(target).desc(), "candidate").first().asDict()
     near = trust_region(dims, best_row)
     values = candidate_values(spark, spw_base, refine, {best_row["family"]: 1.0}, seed + 999, spark.createDataFrame(near.collect(), DIMENSION_SCHEMA))
-    return _evaluate_into(meta, _complete(candidate_table(values), cat_cols, num_cols), df, features, label, row_id, n_folds, seed, "TR")
+    return _evaluate_into(meta, _complete(candidate_table(values), cat_cols, num_cols), df, features, label, row_id, n_folds, seed, "TR", starts)
 
 
 def _complete(table: DataFrame, cat_cols, num_cols) -> DataFrame:
@@ -477,11 +478,11 @@ def _complete(table: DataFrame, cat_cols, num_cols) -> DataFrame:
     return table.withColumns(missing) if missing else table
 
 
-def _evaluate_into(meta, chosen, df, features, label, row_id, n_folds, seed, batch):
+def _evaluate_into(meta, chosen, df, features, label, row_id, n_folds, seed, batch, starts):
     spark = df.sparkSession
     rows = [r.asDict() for r in chosen.collect()]  # at most one batch
     named = {f"b{batch}-{r['candidate']}": r for r in rows}
-    folds = search(df, features, label, row_id, {k: to_config(r) for k, r in named.items()}, n_folds, seed)
+    folds = search(df, features, label, row_id, {k: to_config(r) for k, r in named.items()}, n_folds, seed, starts=starts)
     table = spark.createDataFrame([{**r, "candidate": k} for k, r in named.items()], chosen.schema)
     fresh = meta_table(folds, table).persist()
     return append_batch(meta, fresh, batch)
