@@ -205,10 +205,11 @@ class Run:
 # ---- bins
 
 
-def quantile_cuts(df: DataFrame, values: str, n_features: int, weight: str, max_bins: int = MAX_BINS) -> list[np.ndarray]:
+def quantile_cuts(df: DataFrame, values: str, n_features: int, weight: str, max_bins: int = MAX_BINS, firsts: bool = False):
     """Upper edges of the bins of each feature, from an array column: every value where there are at most ``max_bins``, else weighted quantiles.
 
-    Values are summed up before they are ordered; running totals cross no task's bounds, so no feature is sorted in one place.
+    Values are summed up before they are ordered; running totals cross no task's bounds, so no feature is sorted in one place. With ``firsts`` the
+    smallest values of the bins are given beside them.
     """
     long = df.select(F.posexplode(values).alias("j", "v"), F.col(weight).alias("w")).where("v is not null and not isnan(v) and w > 0")
     counted = long.groupBy("j", (F.col("v") + F.lit(0.0)).alias("v")).agg(F.sum("w").alias("w")).persist()
@@ -216,21 +217,22 @@ def quantile_cuts(df: DataFrame, values: str, n_features: int, weight: str, max_
         sizes = {r["j"]: (r["n"], r["w"]) for r in counted.groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()}
         few = [j for j, (n, _) in sizes.items() if n <= max_bins]
         many = [j for j, (n, _) in sizes.items() if n > max_bins]
-        cuts: dict[int, list[float]] = {j: [] for j in range(n_features)}
+        cuts: dict[int, list[tuple[float, float]]] = {j: [] for j in range(n_features)}
         if few:
             for r in counted.where(F.col("j").isin(few)).select("j", "v").collect():  # max_bins of each feature at most
-                cuts[r["j"]].append(r["v"])
+                cuts[r["j"]].append((r["v"], r["v"]))
         if many:
             totals = F.lit(None).cast("double")
             for j in many:
                 totals = F.when(F.col("j") == j, F.lit(float(sizes[j][1]))).otherwise(totals)
             ranked = running_totals(counted.where(F.col("j").isin(many)), "v", {"upto": "w"}, by=["j"])
             bins = ranked.withColumn("b", F.least(F.floor((F.col("upto") - F.col("w")) / totals * max_bins), F.lit(max_bins - 1)))
-            for r in bins.groupBy("j", "b").agg(F.max("v").alias("v")).collect():
-                cuts[r["j"]].append(r["v"])
+            for r in bins.groupBy("j", "b").agg(F.max("v").alias("v"), F.min("v").alias("first")).collect():
+                cuts[r["j"]].append((r["v"], r["first"]))
     finally:
         counted.unpersist()
-    return [np.array(sorted(cuts[j]), np.float64) for j in range(n_features)]
+    edges, starts = ([np.array(sorted(v[k] for v in cuts[j]), np.float64) for j in range(n_features)] for k in (0, 1))
+    return (edges, starts) if firsts else edges
 
 
 @dataclass

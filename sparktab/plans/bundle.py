@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import impute, models
 from ..operators.boosting import Boosted
 from ..operators.encode import encode_categories, expand_dates
+from ..operators.forests import TreeFiles
 from ..operators.isolation import IsolationForest
 from ..operators.kernel_machine import KernelMachine
 from ..operators.outlier import Clusters, OutlierTamer, TamerState
@@ -176,6 +177,8 @@ def _save_model(m: models.FittedModel, path: str) -> dict:
         info["trees"] = m.model.as_dict()
     elif isinstance(m.model, KernelMachine):
         info["machine"] = m.model.as_dict()
+    elif isinstance(m.model, TreeFiles):
+        info["forest"] = m.model.copied(f"{path}/trees").as_dict()
     else:
         m.model.write().overwrite().save(f"{path}/model")
     return info
@@ -194,6 +197,8 @@ def _load_model(d: dict, path: str) -> models.FittedModel:
         return models.FittedModel(d["family"], d["params"], d["features"], d["classes"], Boosted.from_dict(d["trees"]), extra, d["ignored"])
     if "machine" in d:
         return models.FittedModel(d["family"], d["params"], d["features"], d["classes"], KernelMachine.from_dict(d["machine"]), extra, d["ignored"])
+    if "forest" in d:
+        return models.FittedModel(d["family"], d["params"], d["features"], d["classes"], TreeFiles.from_dict(d["forest"], f"{path}/trees"), extra, d["ignored"])
     if d["family"] == "svc":
         extra["map"] = models.random_features(extra["dim"], extra["n_components"], extra["gamma"], extra["seed"])
     return models.FittedModel(d["family"], d["params"], d["features"], d["classes"], _MODELS[d["family"]].load(f"{path}/model"), extra, d["ignored"])
