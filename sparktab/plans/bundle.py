@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import impute, models
 from ..operators.boosting import Boosted
 from ..operators.encode import encode_categories, expand_dates
-from ..operators.forests import TreeFiles
 from ..operators.isolation import IsolationForest
 from ..operators.kernel_machine import KernelMachine
 from ..operators.outlier import Clusters, OutlierTamer, TamerState
 from ..operators.scale import LinearScale, PowerScale
 from ..operators.schema import align_features, sanitize_columns
+from ..operators.tree_files import TreeFiles
 from .chain import ChainConfig, FittedChain, OrderedFill
 
 _MODELS = {

@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.boosting import Grid
-from ..operators.forests import Grown, TreeFiles
+from ..operators.tree_files import Grown, TreeFiles
 from ..session import cut_lineage
 from .surrogate import PackedForest
 

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from sparktab.operators import forests, models
+from sparktab.operators import forests, models, tree_files
 from sparktab.operators.boosting import Grid, mixed
 from sparktab.plans import bundle, shapley, surrogate
 from sparktab.session import scratch_path
@@ -98,7 +98,7 @@ def here(monkeypatch):
     def refused(*a, **k):
         raise AssertionError("fitted by passes of the driver")
 
-    monkeypatch.setattr(forests, "FEW_GROWN", 0)
+    monkeypatch.setattr(tree_files, "FEW_GROWN", 0)
     monkeypatch.setattr(RandomForestRegressor, "fit", refused)
     monkeypatch.setattr(RandomForestClassifier, "fit", refused)
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from sparktab.operators import boosting, random_trees
+from sparktab.operators import boosting, random_trees, tree_files
 from sparktab.operators.boosting import Run
 from sparktab.plans import surrogate
 
@@ -135,3 +135,35 @@ def test_folds_of_random_trees_are_fitted_one_after_another(spark, monkeypatch):
     for k, model in enumerate(models):
         want = {r["row_id"]: r["p"] for r in tagged.where(F.col("fold") == k).select("row_id", model.predict(vector_to_array("features")).alias("p")).collect()}
         assert {r["row_id"]: r["yhat"] for r in got.where(F.col("fold") == k).collect()} == want
+
+
+@pytest.mark.parametrize("sum_cells", [4_000_000, 1])
+def test_trees_in_files_are_the_same_and_stay_out_of_the_driver(spark, monkeypatch, sum_cells):
+    """The same nodes and scores from trees that the driver never holds, missing values and rows without weight among them."""
+    x, _, df = rows(spark)
+    spec = random_trees.random_spec(5, 9, 2)
+    run = Run(spec, (F.col("id") % 7 != 3).cast("double"))
+    model = random_trees.fit_random_trees(df, F.col("x"), F.col("y"), "id", [run])[0]
+    monkeypatch.setattr(tree_files, "FEW_GROWN", 0)
+    monkeypatch.setattr(random_trees, "SUM_CELLS", sum_cells)
+    monkeypatch.setattr(random_trees, "side_by_side", None)
+    kept = random_trees.fit_random_trees(df.repartition(6), F.col("x"), F.col("y"), "id", [run], files=True)[0]
+    trees = list(kept.trees())
+    assert len(trees) == 5 and kept.start == model.start
+    for a, b in zip(model.trees, trees):
+        inner = np.array(a.feature) >= 0
+        assert np.array_equal(a.feature, b.feature) and np.array_equal(np.array(a.bin)[inner], b.bin[inner]) and np.array_equal(np.array(a.left)[inner], b.left[inner])
+        assert np.array_equal(np.array(a.missing_left)[inner], b.missing_left[inner]) and np.array_equal(a.value, b.value[:, 0]) and np.array_equal(a.hess, b.cover)
+    said = {r["id"]: r["p"] for r in df.select("id", F.get(kept.scored(F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan"))))), F.lit(0)).alias("p")).collect()}
+    assert [said[i] for i in range(len(x))] == model.margins(x).tolist()
+
+
+def test_spread_of_trees_in_files(spark, monkeypatch):
+    x, _, df = rows(spark)
+    whole = df.select("id", "y", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))).alias("x")).withColumn("features", array_to_vector("x"))
+    each = surrogate.pack_boosted(surrogate.regressors(7)["extra_trees"]().fit(whole).booster).each(np.nan_to_num(x))
+    monkeypatch.setattr(tree_files, "FEW_GROWN", 0)
+    model = surrogate.regressors(7)["extra_trees"]().fit(whole)
+    assert isinstance(model.booster, tree_files.TreeFiles)
+    got = {r["id"]: (r["mu"], r["sigma"]) for r in surrogate.tree_spread(whole, model, ["id"]).collect()}
+    assert np.allclose([got[i][0] for i in range(len(x))], each.mean(axis=1)) and np.allclose([got[i][1] for i in range(len(x))], each.std(axis=1), atol=1e-9)
