@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from sparktab.operators import forests, models, tree_files
+from sparktab.operators import boosting, forests, models, tree_files
 from sparktab.operators.boosting import Grid, mixed
 from sparktab.plans import bundle, shapley, surrogate
 from sparktab.session import scratch_path
@@ -175,3 +175,33 @@ def test_large_classifiers_leave_the_driver_and_are_saved(rows, spark, here):
 def test_features_tried_are_those_of_mllib():
     assert [forests.features_tried(s, 8, 500, 0) for s in ("auto", "all", "sqrt", "log2", "onethird", "0.4", "5")] == [3, 8, 3, 3, 3, 4, 5]
     assert forests.features_tried("auto", 8, 1, 0) == 8 and forests.features_tried("auto", 6, 100, 2) == 3
+
+
+def test_compared_models_share_a_task_each_and_predict_once(rows, monkeypatch):
+    """Boosters of two presets and five folds run side by side; scores read written predictions, not a plan of all models."""
+    assert boosting.n_parts(16_000 * 48, boosting.PART_CELLS, 10) == 1
+    _, _, df = rows
+    seen, score = [], surrogate.score_regressors
+
+    def spy(predictions):
+        seen.append(predictions._jdf.queryExecution().executedPlan().toString())
+        return score(predictions)
+
+    monkeypatch.setattr(surrogate, "score_regressors", spy)
+    presets = surrogate.regressors(3, 4)
+    best, _ = surrogate.compare_regressors(df.select("row_id", "features", "y"), "row_id", {k: presets[k] for k in ("boosted", "extra_trees")}, 3)
+    assert best in ("boosted", "extra_trees") and len(seen) == 1 and "EvalPython" not in seen[0] and "InMemory" not in seen[0]
+
+
+def test_folds_of_the_stability_gate_lie_in_few_partitions(rows, monkeypatch):
+    _, _, df = rows
+    wide = df.select("row_id", "label", *(F.get("x", F.lit(k)).alias(c) for k, c in enumerate("abcd"))).repartition(9)
+    parts = []
+
+    def spied(tagged, *a):
+        parts.append(tagged.rdd.getNumPartitions())
+        return tagged.select("row_id", "label", F.lit(0.5).alias("score"))
+
+    monkeypatch.setattr(surrogate, "_scores", spied)
+    surrogate.stability_scores(wide, list("abcd"), "label", "row_id", {"one": None}, 2, 1)
+    assert parts == [1, 1]
