@@ -530,8 +530,9 @@ def stability_scores(df: DataFrame, features: Sequence[str], label: str, row_id:
 
     def one(w):
         name, repeat, fold = w
-        return _scores(tagged, list(features), label, row_id, configs[name], f"fold_{repeat}", fold, seed).select(
-            F.lit(name).alias("candidate"), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), row_id, "label", "score")
+        scored = _scores(tagged, list(features), label, row_id, configs[name], f"fold_{repeat}", fold, seed)
+        # Written down at once: a plan that holds all chains is large, and each of its readers plans it again.
+        return cut_lineage(scored.select(F.lit(name).alias("candidate"), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), row_id, "label", "score"))
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         parts = list(pool.map(one, work))
